@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 TREES = 64
 BITS = 32
 #: Entries under the prefixes of all trees, as a share of a segment's vectors, at which the ascent ends.
-SHARE = 0.4
+SHARE = 0.9
 SEGMENT_ROWS = 16_384
 QUERY_ROWS = 4_096
 
