@@ -142,6 +142,17 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray,
     return best, end
 
 
+def stretch_size(item: np.ndarray, text: np.ndarray, edits: int) -> int:
+    """Length of the longest end of ``text`` that is ``edits`` edits from ``item``."""
+    a, b = item[::-1], text[: len(text) - len(item) - edits - 1 : -1] if len(text) > len(item) + edits else text[::-1]
+    slot = np.arange(len(b) + 1)
+    now = slot
+    for i, c in enumerate(a, 1):
+        step = np.concatenate([[i], np.minimum(now[:-1] + (b != c), now[1:] + 1)])
+        now = np.minimum.accumulate(step - slot) + slot
+    return int(np.flatnonzero(now == edits)[-1])
+
+
 def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, item, first diagonal, last diagonal) of the bands with enough shared q-grams."""
     empty = np.empty(0, dtype=np.int64)
@@ -212,6 +223,9 @@ def find_leaks(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int,
             first = max(int(bounds[d[k]]), last - int(size[t[k]]))
             if key not in best or (int(edits[k]), first) < best[key][:2]:
                 best[key] = (int(edits[k]), first, last)
+    for (d, i), (e, _, last) in best.items():
+        if e:
+            best[d, i] = (e, last - stretch_size(index.codes[i], codes[bounds[d] : last], e), last)
     if index.short:
         for d in range(len(texts)):
             words = " " + "".join(map(chr, codes[bounds[d] : bounds[d + 1]])).strip() + " "
