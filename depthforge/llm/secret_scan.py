@@ -251,7 +251,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     scanned = keyed
     if wanted:
         found = candidates(build_index(keyed, wanted), tuple(indexed), wanted)
-        scanned = keyed.join(found, "key", "left")
+        scanned = keyed.join(found.hint("merge"), "key", "left")  # candidates grow with the texts, so they are no side to broadcast
     else:
         scanned = keyed.withColumn("rules", F.array().cast("array<string>"))
     spans = []
