@@ -54,8 +54,9 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     # copies are counted before the shuffle, so a chunk that a third of the documents hold moves as a few rows
     often = marks.groupBy("h", "size").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
     places = materialize(marks.join(often, ["h", "size"], "left_semi"), "chunk-places")
+    # sort-merge joins below: lists of chunks grow with the corpus, so they are no side to broadcast
     by_doc = places.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("chunks"))  # no more than the chunks of a text
-    bodies = docs.join(by_doc, "key").select("key", F.split("text", "\n").alias("lines"), F.explode("chunks").alias("c"))
+    bodies = docs.join(by_doc.hint("merge"), "key").select("key", F.split("text", "\n").alias("lines"), F.explode("chunks").alias("c"))
     bodies = bodies.select("key", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("body"))
     bodies = materialize(bodies, "chunk-bodies")
     # the byte comparison: chunks are one only if their bytes are, whatever their hashes
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     kept = F.filter(chunk_array(F.col("text")), lambda c: ~F.array_contains("gone", c["first"]))
     clean = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda c: F.array_join(F.slice(ls, c["first"], c["n"]), "\n")), "\n"))[0]
-    joined = packed.join(lists, "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean))
+    joined = packed.join(lists.hint("merge"), "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean))
     changed = F.col("gone").isNotNull()
     out = []
     for c in names:
