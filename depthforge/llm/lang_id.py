@@ -108,6 +108,10 @@ def learns_from(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 != 0
 
 
+def by_lang(values: dict[str, int]) -> Column:
+    return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("bigint"))))[F.col("lang")]
+
+
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = 8.0) -> LanguageModel:
     """Fit on at most ``train_docs`` documents of each language of ``docs`` (text, lang), those with the least text hashes.
 
@@ -116,13 +120,16 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = 8.0) ->
     """
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
     hashed = known.select("lang", F.xxhash64("text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # hashes are uniform: twice the wanted share of them holds the least ones, so only these few are ranked
+    cuts = {lang: min((1 << 63) - 1, -(1 << 63) + (2 * train_docs << 64) // n) for lang, n in sizes.items()}
+    few = hashed.filter(F.col("h") <= by_lang(cuts)) if cuts else hashed
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = {r["lang"]: r["h"] for r in hashed.withColumn("rank", rank).filter(F.col("rank") <= train_docs).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    limits = {r["lang"]: r["h"] for r in few.withColumn("rank", rank).filter(F.col("rank") <= train_docs).groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not limits:
         return LanguageModel([], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros((len(SCRIPTS), 0), dtype=bool), penalty)
     langs = sorted(limits)
-    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))
-    sample = known.filter(F.xxhash64("text") <= limit[F.col("lang")]).select("text", "lang")
+    sample = known.filter(F.xxhash64("text") <= by_lang(limits)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(langs), BUCKETS), dtype=np.int64)
@@ -208,4 +215,4 @@ def identify_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def _viterbi_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows that are labelled together: many, as the steps of Viterbi are as many as the longest has words."""
-    return text_slices(texts, 12_000_000)
+    return text_slices(texts, 6_000_000)
