@@ -54,22 +54,25 @@ def rank_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     while True:
         jumps.append(state.filter("more").select("tree", "node", "anc"))
         if reach > limit or jumps[-1].isEmpty():
+            jumps.pop()  # nobody has an ancestor this far up
             break
         up = state.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("more").alias("more2"), F.col("total").alias("total2"), F.col("n").alias("n2"))
         held = state.filter("more").join(up, ["tree", "anc"])
         done = state.filter("more is null")
         state = materialize(done.unionByName(held.select("tree", "node", F.col("anc2").alias("anc"), F.col("more2").alias("more"), (F.col("total") + F.col("total2")).alias("total"), (F.col("n") + F.col("n2")).alias("n"))), "jumps")
         reach *= 2
-    parents = jumps[0].select("tree", F.col("anc").alias("node")).distinct()
+    parents = state.limit(0).select("tree", "node") if not jumps else jumps[0].select("tree", F.col("anc").alias("node")).distinct()
     # a node's root is its last ancestor; paths are ranked in the whole tree
     leaves = state.filter("more is null").join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("n")), F.desc("n"), "node")
     chosen = leaves.withColumn("path_rank", F.row_number().over(order)).filter(F.col("path_rank") <= top)
     walked = chosen.select("tree", "path_rank", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up"))
-    for k, jump in enumerate(jumps):
-        # a distance from the leaf is a sum of powers of two, so each ancestor comes once
-        steps = walked.join(jump, ["tree", "node"]).select("tree", "path_rank", "leaf", F.col("anc").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        walked = walked.unionByName(steps)
+    for k, jump in reversed([*enumerate(jumps)]):
+        # a distance from the leaf is a sum of powers of two, so each ancestor comes once; long jumps go first, while there are few rows
+        both = walked.join(jump, ["tree", "node"], "left")
+        here, there = F.struct("node", "up"), F.struct(F.col("anc").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        stops = F.when(F.col("anc").isNull(), F.array(here)).otherwise(F.array(here, there))
+        walked = both.select("tree", "path_rank", "leaf", F.explode(stops).alias("s")).select("tree", "path_rank", "leaf", "s.node", "s.up")
     return walked
 
 
