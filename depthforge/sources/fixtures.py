@@ -24,8 +24,18 @@ TARGET_ROWS, OTHER_ROWS = "p_partkey%10<3 AND p_partkey<5000", "p_partkey%10=5 A
 CONTIG_LENGTH = 25_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer splits than cores; a large table has more, and stays as it is.
+
+    A small file may be one row group, which one task reads however many splits there are; one that
+    fills a single split is not worth a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 1 < df.rdd.getNumPartitions() < cores else df
+
+
 def load_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*READS_COLUMNS)
+    rows = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).selectExpr(*READS_COLUMNS)
     op = lambda kind, length: F.struct(F.lit(kind).alias("op"), F.col(length).alias("len"))
     cigar = F.filter(F.array(op("M", "m1"), op("D", "d"), op("N", "n"), op("M", "m2")), lambda x: x["len"] > 0).cast(CIGAR)
     return rows.withColumn("cigar", cigar).drop("m1", "d", "n", "m2")
