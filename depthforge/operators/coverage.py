@@ -58,6 +58,18 @@ def thresholds(hist: DataFrame, cutoffs: tuple[int, ...] = (), by: tuple[str, ..
     return hist.groupBy(*by).agg(*each) if by else hist.agg(*each)
 
 
+def total_of(measure: str, name: str) -> Column:
+    """Sum of a measure over all bases, an aggregate over runs."""
+    return F.coalesce(F.sum(F.col(measure) * run_size()), F.lit(0)).cast("bigint").alias(name)
+
+
+def reached(measure: str, cutoffs: tuple[int, ...] = (), prefix: str = "") -> list[Column]:
+    """As ``thresholds``, but aggregates over runs, so that several measures share one pass."""
+    at = lambda t: F.col(measure) > 0 if t == 0 else F.col(measure) >= t
+    n = lambda t: F.coalesce(F.sum(F.when(at(t), run_size())), F.lit(0))
+    return [(n(t) / F.nullif(F.sum(run_size()), F.lit(0)) * 100).alias(f"{prefix}x{t}") for t in dict.fromkeys((*THRESHOLDS, *cutoffs))]
+
+
 def uniformity(hist: DataFrame, length: int | Column) -> DataFrame:
     """Percentages at or above 0.2 and 0.5 of the whole-number mean; thresholds are cut to whole numbers. No length: null."""
     n = F.lit(length) if isinstance(length, int) else length

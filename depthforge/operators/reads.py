@@ -61,14 +61,20 @@ def with_span(reads: DataFrame) -> DataFrame:
     return reads.withColumn("span_end", F.greatest(reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1))
 
 
-def overlapping(reads: DataFrame, targets: DataFrame, how: str = "left_semi", bits: int = BIN_BITS) -> DataFrame:
+def longest_span(reads: DataFrame) -> int:
+    """Bases of the longest reference span."""
+    return with_span(reads).agg(F.coalesce(F.max(F.col("span_end") - F.col("pos")), F.lit(1))).first()[0]
+
+
+def overlapping(reads: DataFrame, targets: DataFrame, how: str = "left_semi", bits: int = BIN_BITS, longest: int | None = None) -> DataFrame:
     """Reads whose reference span overlaps a target (``left_semi``) or none (``left_anti``).
 
     A read stays one row with the bin of its start; targets are laid out over all bins in which a
     read that reaches them can start, so the join is an equality on (chrom, bin) and a range.
+    ``longest``: result of ``longest_span``, for callers that join the same reads more than once.
     """
     spans = with_span(reads)
-    longest = spans.agg(F.coalesce(F.max(F.col("span_end") - F.col("pos")), F.lit(1))).first()[0]
+    longest = longest_span(reads) if longest is None else longest
     keyed = spans.withColumn("bin", F.shiftright("pos", bits))
     first = F.shiftright(F.greatest(F.col("beg") - longest, F.lit(0)), bits)
     laid = targets.filter("end_ > beg").select("chrom", "beg", "end_", F.explode(F.sequence(first, F.shiftright(F.col("end_") - 1, bits))).alias("bin"))

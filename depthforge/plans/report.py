@@ -45,22 +45,24 @@ def coverage_report(reads: DataFrame, targets: DataFrame, contigs: DataFrame, op
     runs = depth.depth_runs(reads, merged, options.min_mapq)
     flank_runs = depth.depth_runs(reads, flanks, options.min_mapq)
     eligible = reads_ops.depth_eligible(reads)
-    hist, rmdup = coverage.histogram(runs, "cov"), coverage.histogram(runs, "rmdup")
-    flank_hist = coverage.histogram(flank_runs, "raw")
+    longest = reads_ops.longest_span(eligible)
     isize = reads_ops.insert_sizes(reads, options.isize_limit)
-    total = lambda h: h.agg(F.coalesce(F.sum(F.col("value") * F.col("cnt")), F.lit(0)).alias("data"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("length"))
+    length = F.coalesce(F.sum(coverage.run_size()), F.lit(0)).cast("bigint")
+    # each sweep is read once: all sums and shares of its measures are one aggregate
+    on_target = runs.agg(coverage.total_of("cov", "target_data"), length.alias("target_length"), coverage.total_of("rmdup", "rmdup_data"), *coverage.reached("cov", options.cutoffs), *coverage.reached("rmdup", prefix="rmdup_"))
+    on_flank = flank_runs.agg(coverage.total_of("raw", "flank_data"), length.alias("flank_length"), *coverage.reached("raw", prefix="flank_"))
     one = reads_ops.flagstat(reads, options.min_mapq)
+    counters = one.columns
     parts = [
-        reads_ops.overlapping(eligible, merged).agg(F.count("*").alias("target_reads")),
-        reads_ops.overlapping(eligible, flanks).agg(F.count("*").alias("flank_reads")),
-        total(hist).toDF("target_data", "target_length"), total(rmdup).select(F.col("data").alias("rmdup_data")), total(flank_hist).toDF("flank_data", "flank_length"),
-        coverage.thresholds(hist, options.cutoffs), coverage.thresholds(flank_hist).select(*(F.col(f"x{t}").alias(f"flank_x{t}") for t in coverage.THRESHOLDS)),
-        coverage.thresholds(rmdup).select(*(F.col(f"x{t}").alias(f"rmdup_x{t}") for t in coverage.THRESHOLDS)),
-        coverage.mean_of(isize).toDF("isize_mean"), coverage.rank_median(isize).toDF("isize_median"),
+        reads_ops.overlapping(eligible, merged, longest=longest).agg(F.count("*").alias("target_reads")),
+        reads_ops.overlapping(eligible, flanks, longest=longest).agg(F.count("*").alias("flank_reads")),
+        on_target, on_flank, coverage.mean_of(isize).toDF("isize_mean"), coverage.rank_median(isize).toDF("isize_median"),
         merged.agg(F.count("*").alias("regions")),
     ]
     for part in parts:
         one = one.crossJoin(F.broadcast(part))  # one row each
+    shares = [c for c in on_target.columns if c[0] == "x"] + [c for c in on_flank.columns if c.startswith("flank_x")] + [c for c in on_target.columns if c.startswith("rmdup_x")]
+    one = one.select(*counters, "target_reads", "flank_reads", "target_data", "target_length", "rmdup_data", "flank_data", "flank_length", *shares, "isize_mean", "isize_median", "regions")
     one = one.withColumn("target_mean", F.col("target_data") / F.nullif(F.col("target_length"), F.lit(0))).withColumn("rmdup_mean", F.col("rmdup_data") / F.nullif(F.col("target_length"), F.lit(0))).withColumn("flank_mean", F.col("flank_data") / F.nullif(F.col("flank_length"), F.lit(0)))
     names = one.columns
     rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)))
