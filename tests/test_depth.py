@@ -192,3 +192,6 @@ def test_streaming_fold(spark, golden, tmp_path):
     stream = spark.readStream.schema(golden[0].schema).parquet(str(tmp_path / "in"))
     fold.fold_insert_sizes(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     assert hist(fold.folded(spark, str(tmp_path / "out"))) == {150: 2}
+    stream = spark.readStream.schema(golden[0].schema).parquet(str(tmp_path / "in"))
+    fold.fold_counters(stream, str(tmp_path / "n"), str(tmp_path / "ck2")).awaitTermination(60)
+    assert fold.folded_counters(spark, str(tmp_path / "n")).first() == reads_ops.flagstat(golden[0]).first()
