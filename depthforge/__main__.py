@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import coverage, depth, intervals, reads as reads_ops
 from .plans.report import Options, coverage_report
-from .sources import bam, sinks, text
+from .sources import bai, bam, sinks, text
 
 
 def spool_stdin(folder: str) -> str:
@@ -64,7 +64,7 @@ def alignments(spark: SparkSession, paths: list[str], spool: str) -> tuple[DataF
     """Reads of all files, and the header of the first."""
     paths = [spool_stdin(spool) if p == "-" else p for p in paths]
     plain, binary = [p for p in paths if not p.endswith(".bam")], [p for p in paths if p.endswith(".bam")]
-    sets = ([text.read_sam(spark, plain)] if plain else []) + ([bam.read_bam(spark, binary)] if binary else [])
+    sets = ([text.read_sam(spark, plain)] if plain else []) + ([bai.read_bam_splits(spark, binary)] if binary else [])
     header = bam.read_bam_header(spark, paths[0]) if paths[0].endswith(".bam") else text.read_header(spark, paths[0])
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets), header
 

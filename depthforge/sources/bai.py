@@ -1,4 +1,4 @@
-"""Index files of sorted binary alignments: build, read, and fetch of a region through the index.
+"""Index files of sorted binary alignments: build, read, fetch of a region and reading in splits through the index.
 
 A file's index maps each hierarchical bin to chunks of virtual offsets, each 16 kb window to the
 least offset of an alignment that overlaps it, and counts mapped and unmapped records by contig.
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.bins import LEVELS, OPEN_END
 from ..functions.shipping import ship_package
@@ -204,14 +205,11 @@ def fetch_region(spark: SparkSession, path: str | list[str], chrom: str, beg: in
         for batch in batches:
             for row in batch.to_pylist():
                 fs, at = pyarrow.fs.FileSystem.from_uri(_uri(row["path"]))
-                names = [f"{at}.bai", at.removesuffix(".bam") + ".bai"]
-                there = [i.path for i in fs.get_file_info(names) if i.type == pyarrow.fs.FileType.File]
-                if not there:
-                    raise FileNotFoundError(names[0])
-                with fs.open_input_stream(there[0]) as f:
-                    index = f.read()
+                index = _index_of(fs, at)
+                if index is None:
+                    raise FileNotFoundError(f"{at}.bai")
                 with fs.open_input_file(at) as f:
-                    contigs = _dictionary(f)
+                    contigs, _ = _dictionary(f)
                     tid = next((i for i, c in enumerate(contigs) if c[0] == chrom), -1)
                     held, n = [], 0
                     for first, stop in region_chunks(index, tid, beg, end):
@@ -240,20 +238,116 @@ def _block(f, at: int) -> tuple[bytes, int]:
     return body, at + size
 
 
-def _dictionary(f) -> list[tuple[str, int]]:
-    """Contigs of an open file, from as many of its first blocks as it takes."""
-    data, at = b"", 0
+def _dictionary(f) -> tuple[list[tuple[str, int]], int]:
+    """Contigs of an open file, from as many of its first blocks as it takes, and the virtual offset of its first record."""
+    data, at, places = b"", 0, []
     while True:
         body, after = _block(f, at)
+        if body:
+            places.append((len(data), at))
         data += body
         try:
-            return bam.read_dictionary(data)[1]
-        except (struct.error, IndexError):
+            _, contigs, first = bam.read_dictionary(data)
+        except (struct.error, IndexError, UnicodeDecodeError):
             if after == at:
                 raise
+        else:
+            if first < len(data):
+                start, block = next(p for p in reversed(places) if p[0] <= first)
+                return contigs, block << 16 | first - start
+            if len(data) == first:
+                return contigs, after << 16
         at = after
 
 
+def _index_of(fs, at: str) -> bytes | None:
+    """Content of ``file.bam.bai`` or ``file.bai``, if one of them is there."""
+    import pyarrow.fs
+
+    names = [f"{at}.bai", at.removesuffix(".bam") + ".bai"]
+    for name in (i.path for i in fs.get_file_info(names) if i.type == pyarrow.fs.FileType.File):
+        with fs.open_input_stream(name) as f:
+            return f.read()
+    return None
+
+
+def split_points(index: bytes | None, first: int, split_bytes: int) -> list[int]:
+    """Virtual offsets, ``first`` and then starts of records at least ``split_bytes`` of the file apart; only ``first`` without an index."""
+    out = [first]
+    for at in sorted({r[3] for r in parse(index) if r[1] in ("chunk", "window")} if index else ()):
+        if (at >> 16) - (out[-1] >> 16) >= split_bytes:
+            out.append(at)
+    return out
+
+
+def _record_parts(f, first: int, stop: int | None, most: int = 1 << 20) -> Iterator[bytes]:
+    """Whole records between two virtual offsets (None: to the file's end), in pieces of about ``most`` bytes."""
+    held, at = b"", first >> 16
+    while stop is None or at < stop >> 16 or at == stop >> 16 and stop & 0xFFFF:
+        body, after = _block(f, at)
+        if after == at:
+            break
+        held += body[first & 0xFFFF if at == first >> 16 else 0 : stop & 0xFFFF if stop is not None and at == stop >> 16 else len(body)]
+        at = after
+        if len(held) >= most:
+            end = _last_record(held)
+            yield held[:end]
+            held = held[end:]
+    yield held  # what is cut off here is cut off in the file
+
+
+def _last_record(data: bytes) -> int:
+    """Where the last whole record ends."""
+    at = 0
+    while at + 4 <= len(data) and (after := at + 4 + struct.unpack_from("<i", data, at)[0]) <= len(data):
+        at = after
+    return at
+
+
+def read_bam_splits(spark: SparkSession, path: str | list[str], split_bytes: int = 32 << 20) -> DataFrame:
+    """Alignments of binary files of any size, with the columns of ``bam.read_bam``.
+
+    A file with an index beside it is read in tasks of about ``split_bytes``, cut where the index says that
+    a record starts; one without is one task. Tasks stream: they hold about 1 MB of records. ``rec_idx`` rises along
+    a file, with gaps between its splits.
+    """
+    ship_package(spark)
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(bam.SCHEMA))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            for file in batch.column("path").to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(_uri(file))
+                with fs.open_input_file(at) as f:
+                    points = split_points(_index_of(fs, at), _dictionary(f)[1], split_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(points)), pa.array(points), pa.array([*points[1:], None], pa.int64())], names=["path", "first", "stop"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                fs, at = pyarrow.fs.FileSystem.from_uri(_uri(row["path"]))
+                with fs.open_input_file(at) as f:
+                    contigs, n = _dictionary(f)[0], row["first"]
+                    for part in _record_parts(f, row["first"], row["stop"]):
+                        held = [{"file_idx": row["path"], **r, "rec_idx": n + r["rec_idx"]} for r in bam.records(part, contigs, 0)]
+                        n += len(held)
+                        if held:
+                            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+    # listed without the option's glob, so that a single file may have any name
+    files = spark.read.format("binaryFile").load(path).filter(~F.col("path").endswith(".bai")).select("path", "length")
+    tasks = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    # a row for each split, dealt in turn: neighbours in a file go to different tasks
+    return files.mapInArrow(plan, "path string, first bigint, stop bigint").repartition(int(tasks)).mapInArrow(scan, bam.SCHEMA)
+
+
 def _between(f, first: int, stop: int) -> bytes:
     """Content between two virtual offsets."""
     out, at = [], first >> 16

@@ -151,16 +151,23 @@ def encode_record(r: dict) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def encode_file(header: str, contigs: list[tuple[str, int]], rows: list[dict]) -> bytes:
-    """A whole binary file."""
+def encode_head(header: str, contigs: list[tuple[str, int]]) -> bytes:
+    """What comes before the records."""
     text = header.encode()
     head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
-    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
-    return bgzf.compress(head + b"".join(map(encode_record, rows)))
+    return head + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+
+
+def encode_file(header: str, contigs: list[tuple[str, int]], rows: list[dict]) -> bytes:
+    """A whole binary file."""
+    return bgzf.compress(encode_head(header, contigs) + b"".join(map(encode_record, rows)))
 
 
 def write_bam(reads: DataFrame, path: str, header: str, contigs: list[tuple[str, int]]) -> DataFrame:
-    """Write a binary file for each partition of ``reads`` below ``path``, a folder all executors share; returns (path, n)."""
+    """Write a binary file for each partition of ``reads`` below ``path``, a folder all executors share; returns (path, n).
+
+    A task holds a batch of rows and a part of a block; empty partitions write no file.
+    """
     spark = reads.sparkSession
     ship_package(spark)
 
@@ -168,15 +175,24 @@ def write_bam(reads: DataFrame, path: str, header: str, contigs: list[tuple[str,
         import pyarrow.fs
         from pyspark import TaskContext
 
-        rows = [dict(r, aux=dict(r["aux"] or [])) for batch in batches for r in batch.to_pylist()]
-        if rows:
-            task = TaskContext.get()
-            fs, at = pyarrow.fs.FileSystem.from_uri(path)
-            fs.create_dir(at)
-            name = f"{at}/part-{task.partitionId():05d}.bam"
-            with fs.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-                out.write(encode_file(header, contigs, rows))
-            fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)
-            yield pa.RecordBatch.from_pydict({"path": [name], "n": [len(rows)]})
+        task = TaskContext.get()
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        name = f"{at}/part-{task.partitionId():05d}.bam"
+        part, out, n = f"{name}.{task.taskAttemptId()}.tmp", None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if out is None:
+                fs.create_dir(at)
+                out, held = fs.open_output_stream(part), encode_head(header, contigs)
+            held += b"".join(encode_record(dict(r, aux=dict(r["aux"] or []))) for r in batch.to_pylist())
+            full = len(held) // bgzf.MOST * bgzf.MOST
+            out.write(bgzf.pack(held[:full]))
+            held, n = held[full:], n + batch.num_rows
+        if out is not None:
+            out.write(bgzf.compress(held))
+            out.close()
+            fs.move(part, name)
+            yield pa.RecordBatch.from_pydict({"path": [name], "n": [n]})
 
     return reads.mapInArrow(write, "path string, n bigint")

@@ -44,15 +44,20 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def compress(data: bytes, level: int = 6) -> bytes:
-    """Blocks of ``data`` and the end block."""
+def pack(data: bytes, level: int = 6) -> bytes:
+    """Blocks of ``data``, without the end block."""
     out = []
     for i in range(0, len(data), MOST):
         part = data[i : i + MOST]
         deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
         body = deflate.compress(part) + deflate.flush()
         out.append(HEAD.pack(31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + HEAD.size + 8 - 1) + body + struct.pack("<II", zlib.crc32(part), len(part)))
-    return b"".join(out) + EOF_BLOCK
+    return b"".join(out)
+
+
+def compress(data: bytes, level: int = 6) -> bytes:
+    """Blocks of ``data`` and the end block."""
+    return pack(data, level) + EOF_BLOCK
 
 
 def seek(data: bytes, virtual: int) -> bytes:

@@ -55,3 +55,23 @@ def test_counts_and_order(spark, sample):
         list(bai.parse(b"none"))
     empty = bai.build(bam.encode_file("", CONTIGS, []))
     assert list(bai.parse(empty)) == [(-1, "unplaced", 0, 0, 0)] and bai.region_chunks(empty, 0, 0, 10) == []
+
+
+def test_splits_equal_whole(spark, sample):
+    at, rows = sample
+    (at / "a.bam.bai").unlink(missing_ok=True)
+    whole = sorted((r["qname"], r["tid"], r["pos"], r["flag"]) for r in bam.read_bam(spark, str(at / "a.bam")).collect())
+    pick = lambda df: sorted((r["qname"], r["tid"], r["pos"], r["flag"]) for r in df.collect())
+    one = bai.read_bam_splits(spark, str(at / "a.bam"), 4096)
+    assert pick(one) == whole and len(whole) == len(rows)
+    bai.write_bai(spark, str(at)).collect()
+    many = bai.read_bam_splits(spark, str(at), 4096)
+    assert pick(many) == whole
+    order = [r["qname"] for r in many.orderBy("rec_idx").select("qname").collect()]
+    assert order == [r["qname"] for r in rows] and many.select("rec_idx").distinct().count() == len(rows)
+    data = (at / "a.bam").read_bytes()
+    assert len(bai.split_points(bai.build(data), 0, 4096)) > 2
+    empty = at / "none"
+    empty.mkdir()
+    (empty / "e.bam").write_bytes(bam.encode_file("@HD\tVN:1.4\n", CONTIGS, []))
+    assert bai.read_bam_splits(spark, str(empty)).count() == 0
