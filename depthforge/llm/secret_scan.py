@@ -215,25 +215,41 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...], wanted: list[str])
     return sets.select("key", found.alias("rules")).filter(F.size("rules") > 0)
 
 
+NO_SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+#: Matches whose places are summed up together; both the sums inside such a group and those over groups stay short.
+GROUP = 256
+
+
 def rule_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of (start, order, kind, end) of the rule's matches, leftmost first, in code points."""
+    """Array of (start, order, kind, end) of the rule's matches, leftmost first, in code points.
+
+    An array that grows by one in each step of an aggregate is copied each time, so places are
+    summed in groups of GROUP matches from 0, and the groups are then moved to where they begin.
+    """
     regex = rule.regex
     between = F.transform(F.split(text, regex), lambda p: F.length(p))
     whole = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m: F.length(m))
     measured = whole if rule.measured == 0 else F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(rule.measured)), lambda m: F.length(m))
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("size"), measured.alias("measured"))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>").alias("found"))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(NO_SPANS).alias("found"))
+    span = lambda begin, end: F.struct(begin.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
 
     def step(state: Column, p: Column) -> Column:
         begin = state["end"] + p["gap"]
         end = begin + p["size"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("order"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("end"), F.when(p["measured"] >= rule.least, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+        return F.struct(end.alias("end"), F.when(p["measured"] >= rule.least, F.concat(state["found"], F.array(span(begin, end)))).otherwise(state["found"]).alias("found"))
 
-    return F.aggregate(pairs, start, step, lambda s: s["found"])
+    def grouped(ps: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.floor((F.greatest(F.size(ps), F.lit(1)) - 1) / GROUP).cast("int"))
+        return F.transform(firsts, lambda g: F.aggregate(F.slice(ps, g * GROUP + 1, F.lit(GROUP)), start, step))
 
+    def moved(groups: Column) -> Column:
+        none = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{NO_SPANS}>").alias("found"))
+        shift = lambda s, g: F.array(F.transform(g["found"], lambda x: span(s["end"] + x["start"], s["end"] + x["end"])))
+        return F.aggregate(groups, none, lambda s, g: F.struct((s["end"] + g["end"]).alias("end"), F.concat(s["found"], shift(s, g)).alias("found")), lambda s: F.flatten(s["found"]))
 
-NO_SPANS = "array<struct<start:int,order:int,kind:string,end:int>>"
+    # arrays of one element bind a value that lambdas use more than once
+    return F.transform(F.transform(F.array(pairs), grouped), moved)[0]
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
