@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .codes import alphanumeric, code_points, lowered
 from .tokenize import text_slices
+from .workers import tidy
 
 Q = 8
 #: Edits allowed for each character of an item.
@@ -269,6 +270,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
                         d, i, start, end, edits = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array([index.ids[x] for x in i], type=item_type), pa.array(start), pa.array(end), pa.array(edits)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        part = docs.select("doc_id", "text").mapInArrow(scan, schema)
+        part = docs.select("doc_id", "text").mapInArrow(tidy(scan), schema)
         out = part if out is None else out.unionByName(part)
     return out

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from .codes import code_points, letters, lowered
 from .tokenize import text_slices
+from .workers import tidy
 
 #: First code points of script ranges (public Unicode blocks) and the scripts; fixed values.
 RANGES = (
@@ -145,7 +146,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = 8.0) ->
         k, bucket = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(bucket), pa.array(both[k, bucket])], names=["k", "bucket", "n"])
 
-    found = sample.mapInArrow(count, "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(tidy(count), "k long, bucket long, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
     counts[found["k"], found["bucket"]] = found["n"]
     grams, scripts = counts[:, :BUCKETS], counts[:, BUCKETS:]
@@ -184,7 +185,7 @@ def identify_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def label_part(model: LanguageModel, part: pa.RecordBatch) -> pa.RecordBatch:
         firsts, sizes, scores, of = [], [], [], []
         texts = part.column("row").field("text")
-        for a, b in text_slices(texts, 2_000_000):
+        for a, b in text_slices(texts, 500_000):
             codes, starts = code_points(texts.slice(a, b - a).fill_null("").to_pylist())
             first, size, score = model.words(codes)
             doc = np.searchsorted(starts, first, side="right") - 1
@@ -210,9 +211,9 @@ def identify_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
         offsets = pa.array(np.searchsorted(doc[begin], np.arange(n + 1)).astype(np.int32))
         return pa.RecordBatch.from_arrays([part.column("row"), pa.array(langs[top], type=pa.string()), pa.array(share), pa.ListArray.from_arrays(offsets, spans)], names=["row", "lang_pred", "score", "spans"])
 
-    return packed.mapInArrow(label, schema)
+    return packed.mapInArrow(tidy(label), schema)
 
 
 def _viterbi_slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows that are labelled together: many, as the steps of Viterbi are as many as the longest has words."""
-    return text_slices(texts, 6_000_000)
+    return text_slices(texts, 4_000_000)

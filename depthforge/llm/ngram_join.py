@@ -26,6 +26,7 @@ from .codes import code_points
 from .common import materialize
 from .components import connected_components
 from .tokenize import text_slices
+from .workers import tidy
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -210,7 +211,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_a), pa.array(set_b), data], names=["doc_id", "grams", "set_a", "set_b", "mins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {kind}, grams bigint, set_a bigint, set_b bigint, mins binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(sign), f"doc_id {kind}, grams bigint, set_a bigint, set_b bigint, mins binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .tokenize import default_tokenizer, encoder, text_slices
+from .workers import tidy
 
 #: Rows of the table of rank offsets up to which it is broadcast (about 24 bytes each); beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 400_000
@@ -128,7 +129,7 @@ def token_pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int) ->
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, block bigint, local_rank bigint")
+    return docs.select("doc_id", "text").mapInArrow(tidy(encode, drop_words=False), f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, block bigint, local_rank bigint")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

@@ -88,6 +88,11 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def drop_encoders() -> None:
+    """Forget the encoders and words of this worker process."""
+    _encoders.clear()
+
+
 def text_slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Runs of rows with about ``most`` bytes each; a longer text is a run of its own."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
