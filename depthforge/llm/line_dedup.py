@@ -5,10 +5,17 @@ rolling hash over its own and the previous line's hash falls on 0 modulo ``MODUL
 of a boundary depends on two lines alone, so chunks keep their edges when lines are added or
 removed before them. Chunks of two or more lines that occur more than once in the whole table
 are found by hash and length, compared byte by byte, and removed but for their first place.
+
+Chunks miss most passages of texts with few lines. ``dedup_passages`` finds all that are whole
+sentences or lines: in both directions from each of these units it takes the shortest run of at
+least ``LEAST_WORDS`` words, so a repeated passage is covered by such runs wherever it stands.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +25,12 @@ from .common import materialize
 MODULUS = 4
 #: Fixed values of the rolling hash: base and modulus.
 BASE, PRIME = 1_000_003, 2_147_483_647
+#: Words of the shortest passages that ``dedup_passages`` removes; 12 characters count as a word at least, for scripts without blanks.
+LEAST_WORDS = 50
+#: A sentence or line ends after each of these, so the units of a text put together are the text.
+UNIT_ENDS = ("\n", ". ", "! ", "? ", "\u3002", "\uff01", "\uff1f")
+#: Set after unit ends to split there; a text that holds it is split by a slower pattern.
+MARK = "\x01"
 
 
 def line_value(line: Column) -> Column:
@@ -73,8 +86,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     same cleaned text. Null doc_ids come before others. Extra columns pass through untouched,
     whatever their names; an empty table gives no rows.
     """
-    names = docs.columns
-    row = F.struct(*(docs[c] for c in names))
+    row = F.struct(*(docs[c] for c in docs.columns))
     packed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"), row.alias("row"))
     gone = repeated_chunks(packed.select("key", "text"))
     lists = gone.groupBy("key").agg(F.collect_set("first").alias("gone"))
@@ -82,9 +94,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = F.filter(chunk_array(F.col("text")), lambda c: ~F.array_contains("gone", c["first"]))
     clean = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda c: F.array_join(F.slice(ls, c["first"], c["n"]), "\n")), "\n"))[0]
     joined = packed.join(lists.hint("merge"), "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean))
-    changed = F.col("gone").isNotNull()
+    return with_text(docs, joined, "gone")
+
+
+def with_text(docs: DataFrame, joined: DataFrame, gone: str) -> DataFrame:
+    """The columns of ``docs`` from ``row``, with ``clean`` as text and n_chars in line where ``gone`` is not null."""
+    changed = F.col(gone).isNotNull()
     out = []
-    for c in names:
+    for c in docs.columns:
         old = F.col("row").getField(c)
         if c == "text":
             out.append(F.col("clean").alias(c))
@@ -93,3 +110,96 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         else:
             out.append(old.alias(c))
     return joined.select(*out)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def split_units(text: Column) -> Column:
+    marked = text
+    for end in UNIT_ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    slow = F.split(text, "|".join(f"(?<={re.escape(end)})" for end in UNIT_ENDS))
+    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(F.split(marked, MARK))
+
+
+def trim(unit: Column) -> Column:
+    """A unit without blanks around it and without its line end, the only one it can have."""
+    return F.trim(F.replace(unit, F.lit("\n"), F.lit("")))
+
+
+def passage_windows(text: Column) -> Column:
+    """Array of (first, n, h) of a text's windows: their first unit, from 0, their number of units and a hash.
+
+    A window is the shortest run of units with ``LEAST_WORDS`` words from its first unit on, or up to its last.
+    """
+
+    def words(unit: Column) -> Column:
+        blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
+        return F.greatest(blanks + 1, F.floor(F.length(unit) / 12).cast("int"))
+
+    def of(units: Column) -> Column:
+        owner = F.flatten(F.transform(units, lambda u, i: F.array_repeat(i, words(u))))  # the unit of each word
+        begins = lambda o: F.array_compact(F.transform(o, lambda u, x: F.when((x == 0) | (F.get(o, x - 1) != u), x)))
+
+        def spans(o: Column, p: Column) -> Column:
+            onward = F.transform(p, lambda x, i: F.struct(i.alias("first"), F.get(o, x + LEAST_WORDS - 1).alias("last")))
+
+            def back(x: Column, j: Column) -> Column:
+                first = F.get(o, F.coalesce(F.get(p, j + 1), F.size(o)) - LEAST_WORDS)
+                same = F.get(o, F.get(p, first) + LEAST_WORDS - 1) == j  # the window from there on is this one
+                return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
+
+            return F.filter(F.concat(onward, F.transform(p, back)), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
+
+        found = let(owner, lambda o: let(begins(o), lambda p: spans(o, p)))
+        named = lambda h, w: let(w["last"] - w["first"] + 1, lambda n: F.struct(w["first"].alias("first"), n.alias("n"), F.xxhash64(F.slice(h, w["first"] + 1, n)).alias("h")))
+        return let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(found, lambda w: named(h, w)))
+
+    return let(F.transform(split_units(text), trim), of)
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """Windows to remove, (key, first, n): all but the first place of each repeated one.
+
+    ``docs`` has key (a struct of doc_id and text hash) and text.
+    """
+    rows = docs.filter("text is not null").select("key", F.explode(passage_windows(F.col("text"))).alias("w"))
+    marks = materialize(rows.select("key", "w.first", "w.n", "w.h"), "window-hashes")
+    often = marks.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
+    places = marks.join(often.hint("merge"), "h", "left_semi")
+    by_doc = places.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("windows"))  # no more than the windows of a text
+    units = F.transform(split_units(F.col("text")), trim)
+    digest = lambda u, w: F.unhex(F.sha2(F.array_join(F.slice(u, w["first"] + 1, w["n"]), "\n"), 256))
+    named = let(units, lambda u: F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"), digest(u, w).alias("body"))))
+    bodies = docs.join(by_doc.hint("merge"), "key").select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body")
+    bodies = materialize(bodies, "window-bodies")
+    # windows are one only if their SHA-256 is, whatever their short hashes
+    firsts = bodies.groupBy("body").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("places")).filter("places > 1").drop("places")
+    # in its own text, a window that overlaps its first place stays
+    apart = ~F.col("key").eqNullSafe(F.col("kept.key")) | (F.col("first") >= F.col("kept.first") + F.col("n"))
+    return bodies.join(firsts.hint("merge"), "body").filter(apart).select("key", "first", "n")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """Remove every repeated run of whole sentences or lines of ``LEAST_WORDS`` words or more but its first place.
+
+    Rows, columns, keys and order are as in ``dedup_lines``. Blanks and line ends between units do not
+    count in the comparison. Each unit that goes is still there at an earlier place. A unit of its own
+    that is shorter than ``LEAST_WORDS``, and a passage without that many words in whole units, stay.
+    """
+    row = F.struct(*(docs[c] for c in docs.columns))
+    packed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"), row.alias("row"))
+    lists = repeated_windows(packed.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    without = F.flatten(F.transform("gone", lambda w: F.sequence(w["first"], w["first"] + w["n"] - 1)))
+
+    def rest(units: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), without)
+        # the last unit that is left loses its separator if units after it go
+        unit = lambda k, i: F.when((i == F.element_at(k, -1)) & (i < F.size(units) - 1), F.rtrim(F.replace(F.get(units, i), F.lit("\n"), F.lit("")))).otherwise(F.get(units, i))
+        return let(left, lambda k: F.array_join(F.transform(k, lambda i: unit(k, i)), ""))
+
+    joined = packed.join(lists.hint("merge"), "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(split_units(F.col("text")), rest)))
+    return with_text(docs, joined, "gone")

@@ -213,6 +213,62 @@ def test_lines(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def units_of(text):
+    return [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?]\s)", text)]
+
+
+def passages(text):
+    """Every shortest run of whole units with at least 50 words."""
+    units = units_of(text)
+    for i in range(len(units)):
+        for j in range(i + 1, len(units) + 1):
+            if sum(len(u.split()) for u in units[i:j]) >= line_dedup.LEAST_WORDS:
+                yield tuple(units[i:j])
+                break
+
+
+def test_passages(spark, odd, empty):
+    rng = random.Random(16)
+    sentence = lambda: prose(rng, rng.randrange(4, 13)) + rng.choice([".", "!", "?"])
+    shared = [[sentence() for _ in range(n)] for n in (9, 14, 30)] + [[prose(rng, 60) + "."]]
+    texts = []
+    for k in range(40):
+        own = [sentence() for _ in range(rng.randrange(2, 20))]
+        at = rng.randrange(len(own) + 1)
+        parts = own[:at] + (shared[k % 4] if rng.random() < 0.8 else []) + own[at:]
+        texts.append("".join(p + rng.choice([" ", "\n"]) for p in parts).rstrip())
+    texts += ["", None, "a.", ("x. " * 120).rstrip(), " ".join(shared[0]) + " \x01 end.", "\x01\n" + " ".join(shared[0]) + "\nnew \x01", "  own. \n" + " ".join(shared[0]), " ".join(shared[0]) + "\n  own. \n"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(table(spark, texts)).collect()}
+    assert len(got) == len(texts) and got[40] == "" and got[41] is None and got[42] == "a."
+    assert got[43].split() == ["x."] * 50  # the first place of a text that repeats itself stays whole
+    assert got[44] == "\x01 end." and got[45] == "\x01\nnew \x01" and got[46] == "  own. " and got[47] == "  own. \n"
+    seen, kept = set(), Counter()
+    for d, t in enumerate(texts[:40]):
+        mine = list(passages(t))
+        assert (got[d] != t) == any(p in seen for p in mine)
+        assert not seen & set(passages(got[d]))
+        # what goes is units of repeated passages and nothing else
+        lost = Counter(units_of(t)) - Counter(units_of(got[d]))
+        assert set(lost) <= {u for s in shared for u in s}
+        kept.update(units_of(got[d]))
+        seen.update(mine)
+    assert all(kept[u] for t in texts[:40] for u in units_of(t))
+    out = line_dedup.dedup_passages(odd)
+    assert out.columns == odd.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, odd.collect()))
+    assert line_dedup.dedup_passages(empty).count() == 0
+
+
+def test_stage_removes_passages(spark):
+    """Passages of few long lines, which lie between two boundaries of no chunk."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    shared = "\n".join(prose(rng, 60) for _ in range(2))
+    texts = [f"{prose(rng, 60)}\n{shared}\n{prose(rng, 60)}" for _ in range(12)]
+    out = corpus_pipeline.line_dedup_stage(spark, table(spark, texts), "").collect()
+    assert len(out) == 12 and sum(shared in r["text"] for r in out) == 1
+
+
 # --- tokens ---------------------------------------------------------------------------------------------
 
 
