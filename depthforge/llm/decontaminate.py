@@ -170,6 +170,10 @@ def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tup
     near = np.searchsorted(at, at + longest, side="right") - np.searchsorted(at, at - longest)
     keep = near >= need
     at, found = at[keep], found[keep]
+    # a hit's document is that of its place: its diagonal may begin before the document, in another one
+    doc = np.searchsorted(bounds, at, side="right") - 1
+    keep = at + index.q <= bounds[doc + 1]
+    at, found, doc = at[keep], found[keep], doc[keep]
     n = index.first[found + 1] - index.first[found]
     total = int(n.sum())
     if not total:
@@ -178,9 +182,13 @@ def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tup
     item, diagonal = index.item[entry], np.repeat(at, n) - index.place[entry] + longest
     # bands of 2w diagonals that overlap by w = budget + 1, so that any e + 1 neighbours lie in one
     width = index.budget[item] + 1
+    doc = np.repeat(doc, n)
+    # documents with hits are set so far apart that no band holds diagonals of two
+    gap = longest + 2 * (int(index.budget.max()) + 1)
+    apart = diagonal + np.unique(doc, return_inverse=True)[1] * gap
     out = []
     for half in (0, 1):
-        band = (diagonal + half * width) // (2 * width)
+        band = (apart + half * width) // (2 * width)
         # a slot's count is no less than that of any band in it, so bands in slots below the bound are done with
         slot = (item * 0x9E3779B1 + band * 0x85EBCA77) & (_SLOTS - 1)
         some = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= index.least[item])
@@ -196,13 +204,14 @@ def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tup
         low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), -1)
         np.minimum.at(low, group, diag)
         np.maximum.at(high, group, diag)
+        owner = np.zeros(len(kinds), dtype=np.int64)
+        owner[group] = doc[some][hit]
         sure = np.flatnonzero(full)
-        out.append(np.stack([kinds[sure] >> 40, low[sure] - longest, high[sure] - longest]))
+        out.append(np.stack([kinds[sure] >> 40, low[sure] - longest, high[sure] - longest, owner[sure]]))
     if not out:
         return empty, empty, empty, empty
-    item, low, high = np.unique(np.concatenate(out, axis=1), axis=1)
-    doc = np.searchsorted(bounds, np.maximum(low + index.q, 0) + (high - low) // 2, side="right") - 1
-    return np.clip(doc, 0, len(bounds) - 2), item, low, high
+    item, low, high, doc = np.unique(np.concatenate(out, axis=1), axis=1)
+    return doc, item, low, high
 
 
 def find_leaks(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:

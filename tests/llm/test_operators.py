@@ -472,6 +472,20 @@ def test_leaks_by_brute_force(spark, odd, empty):
     assert {(r["doc_id"], r["item_id"]) for r in blocks.collect()} == set(got)
 
 
+def test_leaks_cut_at_the_start():
+    """Items without their first characters, at the start of each document of a batch."""
+    rng = random.Random(18)
+    items = [prose(rng, n).strip() for n in (30, 60, 90)]
+    index = decontaminate.ItemIndex.build([0, 1, 2], items, decontaminate.Q, decontaminate.EDIT_RATE)
+    cases = [(i, k) for i in range(3) for k in range(1, int(index.budget[i]) + 1) if items[i][k] != " "]  # a text's first blank does not count
+    assert max(k for _, k in cases) > 20
+    rng.shuffle(cases)
+    texts = [t for i, k in cases for t in (prose(rng, rng.randrange(1, 30)), items[i][k:] + ". " + prose(rng, 10))]
+    found = {(d, i): e for d, i, _, _, e in decontaminate.find_leaks(index, texts)}
+    assert set(found) == {(2 * n + 1, i) for n, (i, _) in enumerate(cases)}
+    assert all(found[2 * n + 1, i] <= k for n, (i, k) in enumerate(cases))
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------------
 
 
