@@ -114,23 +114,24 @@ def by_lang(values: dict[str, int]) -> Column:
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, penalty: float = 8.0) -> LanguageModel:
-    """Fit on at most ``train_docs`` documents of each language of ``docs`` (text, lang), those with the least text hashes.
+    """Fit on at most ``train_docs`` distinct texts of each language of ``docs`` (text, lang), those with the least hashes.
 
-    Rows without text or lang are left out. Trigrams are counted where the documents lie; the
+    Rows without text or lang are left out, and copies count once. Trigrams are counted where the documents lie; the
     driver gets one count for each language and bucket.
     """
     known = docs.select("text", "lang").filter("text is not null and lang is not null")
     hashed = known.select("lang", F.xxhash64("text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    # hashes are uniform: twice the wanted share of them holds the least ones, so only these few are ranked
+    sizes = {r["lang"]: r["n"] for r in hashed.distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    # hashes of distinct texts are uniform: twice the wanted share of them holds the least ones, so only these few are ranked
     cuts = {lang: min((1 << 63) - 1, -(1 << 63) + (2 * train_docs << 64) // n) for lang, n in sizes.items()}
-    few = hashed.filter(F.col("h") <= by_lang(cuts)) if cuts else hashed
+    few = (hashed.filter(F.col("h") <= by_lang(cuts)) if cuts else hashed).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     limits = {r["lang"]: r["h"] for r in few.withColumn("rank", rank).filter(F.col("rank") <= train_docs).groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not limits:
         return LanguageModel([], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros((len(SCRIPTS), 0), dtype=bool), penalty)
     langs = sorted(limits)
-    sample = known.filter(F.xxhash64("text") <= by_lang(limits)).select("text", "lang")
+    sample = known.withColumn("h", F.xxhash64("text")).filter(F.col("h") <= by_lang(limits))
+    sample = sample.dropDuplicates(["lang", "h"]).select("text", "lang")  # copies go where they lie, before the shuffle
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((len(langs), BUCKETS), dtype=np.int64)

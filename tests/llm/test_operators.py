@@ -431,6 +431,18 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in lang_id.identify(docs, none).collect()} == {"und"}
 
 
+def test_language_learns_from_distinct_texts(spark):
+    """Copies change neither which languages are learnt nor what is counted."""
+    rng = random.Random(19)
+    distinct = [(prose(rng, 12), lang) for lang in ("aa", "bb") for _ in range(30)] + [(prose(rng, 12), f"one{k}") for k in range(6)]
+    copies = [r for k, r in enumerate(distinct) for _ in range(300 if k >= 60 else 200 if k % 15 == 0 else 1)]
+    schema = "text string, lang string"
+    want = lang_id.fit(spark.createDataFrame(distinct, schema), train_docs=20)
+    got = lang_id.fit(spark.createDataFrame(copies, schema), train_docs=20)
+    assert got.langs == want.langs == sorted({lang for _, lang in distinct})
+    assert np.array_equal(got.weights, want.weights) and np.array_equal(got.scripts, want.scripts)
+
+
 # --- benchmarks -------------------------------------------------------------------------------------------------------
 
 
