@@ -20,12 +20,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(state)
     while mark[0]:
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select("v", F.col("m").alias("u")).distinct()
+        # the least neighbours are written, so that a join with them may split the many neighbours of one node
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = materialize(both.filter("v > u").join(least.hint("merge"), "u").filter("v <> m").select("v", F.col("m").alias("u")).distinct(), "large")
         # small star: u is the larger end, its neighbours v the smaller ones
         down = large.select(F.col("v").alias("u"), F.col("u").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
+        least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = down.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u")
         state = materialize(small.filter("v <> u").distinct(), "edges")
         now = _mark(state)
         if now == mark:

@@ -42,6 +42,8 @@ _rng = np.random.default_rng(20_011)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _GRAM = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The first code point after the last white space of Unicode (U+3000); fixed value.
+_PAST_SPACES = 0x3001
 _POWERS = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, dtype=np.uint64), dtype=np.uint64)
 
 
@@ -53,7 +55,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def _spaces() -> np.ndarray:
-    return np.array([chr(i).isspace() or i == 0 for i in range(0x3001)])
+    """Of the code points up to ``_PAST_SPACES``, which is none, those that divide words."""
+    return np.array([chr(i).isspace() or i == 0 for i in range(_PAST_SPACES + 1)])
 
 
 def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +66,7 @@ def gram_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndar
     one n-gram; a text without words has none.
     """
     codes, starts = code_points([t.replace("\0", "�") for t in texts])
-    space = _spaces()[np.minimum(codes, 0x3000)]
+    space = _spaces()[np.minimum(codes, _PAST_SPACES)]
     begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(begin):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts) + 1, dtype=np.int64)
@@ -196,7 +199,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Sign all documents: (doc_id, grams, set_a, set_b, mins); the set hashes tell equal n-gram sets."""
+    """Sign all documents: (doc_id, h, grams, set_a, set_b, mins); the set hashes tell equal n-gram sets, ``h`` is the text's hash."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,10 +211,10 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
                 set_a, set_b = ((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums)
                 width = 4 * HASHES
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.arange(0, (part.num_rows + 1) * width, width, dtype=np.int32)), pa.py_buffer(mins.astype("<u4").tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(set_a), pa.array(set_b), data], names=["doc_id", "grams", "set_a", "set_b", "mins"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bounds)), pa.array(set_a), pa.array(set_b), data], names=["doc_id", "h", "grams", "set_a", "set_b", "mins"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(sign), f"doc_id {kind}, grams bigint, set_a bigint, set_b bigint, mins binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(sign), f"doc_id {kind}, h bigint, grams bigint, set_a bigint, set_b bigint, mins binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,24 +227,28 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """Similarity self-join: a row (doc_id, class_id, rep_id, n_links) for each row of ``docs``.
+    """Similarity self-join: a row (doc_id, class_id, rep_id, n_links, text_hash, stays) for each row of ``docs``.
 
-    Two documents are linked if the Jaccard similarity of their sets of word n-grams is ``threshold`` or
+    Two rows are linked if the Jaccard similarity of their sets of word n-grams is ``threshold`` or
     more. ``rep_id`` is the least doc_id with the same set, ``class_id`` the least one that links
-    connect the document with, ``n_links`` the number of other documents linked to it. doc_id must be an integer.
+    connect the row with, ``n_links`` the number of other rows linked to it. doc_id may be of any type that sorts.
+    ``text_hash`` tells rows apart that share a doc_id, ``stays`` the one document of each class that a
+    deduplication keeps: that of the least doc_id, and of the least text hash among its rows.
 
     A text of fewer words than ``words`` has all of them as its one n-gram. Null texts and texts without
-    words are linked to none and are a class each. Rows with a null doc_id get nulls and 0 links,
-    and take no part. Rows that share a doc_id are one document of one class; each counts as a
-    link of the others. Other columns are ignored; an empty table gives no rows.
+    words are linked to none and are a class each. Rows with a null doc_id get nulls and 0 links, stay,
+    and take no part. Rows that share a doc_id are compared by their texts like any others; those with
+    equal texts are one document, and each of them counts as a link. Other columns are ignored; an empty
+    table gives no rows.
     """
     signed = materialize(classes(docs, words, threshold), "signatures")
     real = signed.filter("grams > 0 and doc_id is not null")
-    members = real.groupBy("grams", "set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    members = materialize(members.withColumn("rep", F.col("rep").cast("bigint")), "classes")
     key = ["grams", "set_a", "set_b"]
-    mine = real.join(members, key).filter(F.col("doc_id") == F.col("rep")).select("rep", "grams", "copies", "mins").dropDuplicates(["rep"])
-    mine = materialize(mine, "class-signatures")
+    # equal sets have equal MinHash values, and copies are counted before the shuffle, so one row of each class moves from a task
+    members = real.groupBy(*key).agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("copies"), F.any_value("mins").alias("mins"))
+    # classes are numbered, as two rows with one doc_id may be of two classes
+    members = materialize(members.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    mine = members.select("rep", "first", "grams", "copies", "mins")
     bands = mine.select("rep", "mins").mapInArrow(_bands, "band bigint, rep bigint")
     sizes = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     crowded = materialize(bands.join(sizes, "band"), "buckets")
@@ -261,14 +268,16 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
     close = pairs.mapInArrow(prune, "a bigint, b bigint")
     large = crowded.filter(F.col("n") > SMALL).select(F.col("rep").alias("a"), F.col("leader").alias("b")).filter("a <> b")
     families = connected_components(close.unionByName(large))
-    family = materialize(families.join(mine, families["node"] == mine["rep"]).select("rep", F.col("component").alias("family"), "grams", "copies", "mins"), "families")
+    family = materialize(families.join(mine, families["node"] == mine["rep"]).select("rep", "first.doc_id", "first.h", F.col("component").alias("family"), "grams", "copies", "mins"), "families")
     totals = family.groupBy("family").agg(F.count("*").alias("docs"), F.sum("grams").alias("all_grams"))
     blocks = totals.select("family", F.ceil(F.greatest(F.col("docs") / BLOCK_DOCS, F.col("all_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     whole = totals.agg(F.coalesce(F.sum("all_grams"), F.lit(0))).first()[0]
     units = max(1, -(-whole // BLOCK_GRAMS))
 
     placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.join(docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").filter("text is not null"), "rep")
+    # one text of each class: rows of one document are put together where they lie
+    texts = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text").groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))
+    placed = texts.join(placed.hint("merge"), ["doc_id", "h"])
     placed = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     # families of one block share units; those of more have a unit for each two blocks
     unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(units))).otherwise(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")))
@@ -300,12 +309,27 @@ def similar_documents(docs: DataFrame, words: int = WORDS, threshold: float = TH
 
     checked = materialize(placed.groupBy("unit").applyInArrow(verify, "rep bigint, weight bigint, root bigint"), "links")
     linked = checked.groupBy("rep").agg(F.sum("weight").alias("weight"))
-    joined = connected_components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = members.join(linked, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select(*key, "rep", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("class_id"))
-    out = signed.select("doc_id", *key).join(of_class, key, "left")
-    alone = F.when(F.col("grams") == 0, F.col("doc_id"))
-    usable = F.col("doc_id").isNotNull()
-    kind = docs.schema["doc_id"].dataType
-    pick = lambda c: F.when(usable, F.coalesce(alone, F.col(c))).cast(kind)
-    return out.select("doc_id", pick("class_id").alias("class_id"), pick("rep").alias("rep_id"), F.when(usable & (F.col("grams") > 0), F.col("n_links")).otherwise(0).cast("bigint").alias("n_links"))
+    joined = connected_components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    of_class = members.drop("mins").join(linked, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of_class = materialize(of_class, "class-links")
+    # the least document of each component; components of one class are their own
+    heads = of_class.groupBy("component").agg(F.min("first").alias("head"))
+    of_class = of_class.join(heads, "component").select(*key, "first", (F.coalesce("weight", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "head")
+    of_class = materialize(of_class, "classes-found")
+    out = signed.drop("mins").join(of_class.hint("merge"), key, "left")
+    usable, real = F.col("doc_id").isNotNull(), F.col("head").isNotNull()
+    pick = lambda c: F.when(usable, F.when(real, F.col(f"{c}.doc_id")).otherwise(F.col("doc_id")))
+    stays = F.coalesce((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.h") == F.col("h")), F.lit(True))
+    return out.select("doc_id", pick("head").alias("class_id"), pick("first").alias("rep_id"), F.when(usable & real, F.col("n_links")).otherwise(0).cast("bigint").alias("n_links"), F.col("h").alias("text_hash"), stays.alias("stays"))
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without those of classes of near copies whose document is not the class's first.
+
+    All columns stay as they are. A row goes only if its own text is a copy, also if other rows share its
+    doc_id. Rows as in ``similar_documents``: null doc_ids, null texts and texts without words stay.
+    """
+    found = similar_documents(docs, words, threshold)
+    gone = found.filter(~F.col("stays")).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    gone = materialize(gone, "copies")
+    return docs.join(gone.hint("merge"), (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"]), "left_anti")

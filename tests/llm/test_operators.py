@@ -119,8 +119,40 @@ def test_join_by_brute_force(spark, monkeypatch, small, block):
     assert {k: r["class_id"] for k, r in got.items()} == groups_of(docs, links)
 
 
+def test_join_on_other_scripts(spark):
+    """Words of characters beyond U+3000 are words; the ideographic blank divides them."""
+    rng = random.Random(20)
+    texts = []
+    for alphabet in ("中文書語言日本詞典學", "あいうえおかきくけこ", "가나다라마바사아자차", "😀😃😄😁😆😅🤣😂🙂🙃"):
+        word = lambda: "".join(rng.choice(alphabet) for _ in range(3))  # noqa: B023, E731
+        base = [word() for _ in range(60)]
+        texts += ["\u3000".join(base), " ".join([*base[:-1], word()]), " ".join(word() for _ in range(60)), " ".join(f"the cat {w} sat on a mat" for w in base), " ".join(f"the cat {word()} sat on a mat" for _ in base)]
+    docs = dict(enumerate(texts))
+    links = brute_links(docs)
+    assert links == [(0, 1), (5, 6), (10, 11), (15, 16)]
+    got = {r["doc_id"]: r for r in ngram_join.similar_documents(table(spark, texts)).collect()}
+    assert {k: r["class_id"] for k, r in got.items()} == groups_of(docs, links) and [got[k]["n_links"] for k in range(20)] == [1, 1, 0, 0, 0] * 4
+
+
+def test_join_on_repeated_ids(spark):
+    """Repeated rows count as links each; rows that share an id but not their text are in classes of their own."""
+    rng = random.Random(21)
+    a, b = near_copies(rng, 3, 150, 1), near_copies(rng, 3, 150, 1)
+    rows = [(5, a[0]), (5, a[0]), (7, a[1]), (5, b[0]), (9, b[1]), (9, a[2]), (3, prose(rng, 90)), (None, a[0])]
+    docs = spark.createDataFrame([(i, t, "h", 1, 2) for i, t in rows], DOCS)
+    links = brute_links(dict(enumerate(t for _, t in rows[:7])))
+    count = Counter(x for link in links for x in link)
+    got = sorted((r["doc_id"] is None, r["doc_id"], r["n_links"], r["class_id"], r["stays"]) for r in ngram_join.similar_documents(docs).collect())
+    root = groups_of(range(7), links)
+    least = lambda k: min((rows[j][0], j) for j in range(7) if root[j] == root[k])[0]
+    assert [x[:4] for x in got] == sorted((False, rows[k][0], count[k], least(k)) for k in range(7)) + [(True, None, 0, None)]
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_first(docs).collect())
+    assert kept == Counter([(5, a[0]), (5, a[0]), (5, b[0]), (3, rows[6][1]), (None, a[0])])
+
+
 def test_join_odd(odd, empty):
     got = ngram_join.similar_documents(odd).collect()
+    assert Counter(map(tuple, ngram_join.keep_first(odd).collect())) == Counter(map(tuple, odd.collect()))
     assert len(got) == odd.count() and all((r["class_id"] is None) == (r["doc_id"] is None) for r in got)
     assert sorted(r["n_links"] for r in got if r["doc_id"] == 6) == [1, 1]
     assert ngram_join.similar_documents(empty).count() == 0
