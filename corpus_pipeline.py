@@ -35,10 +35,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each class of near copies the document with the least doc_id."""
-    found = ngram_join.similar_documents(docs)
-    gone = found.filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep of each class of near copies the document with the least doc_id; a row goes for its own text, not for its doc_id."""
+    return ngram_join.keep_first(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
