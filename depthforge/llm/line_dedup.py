@@ -1,14 +1,16 @@
 """Removal of repeated runs of lines, in DataFrame operations only.
 
-Each text is cut into chunks of lines at content-defined boundaries: a line ends a chunk where a
-rolling hash over its own and the previous line's hash falls on 0 modulo ``MODULUS``. The place
-of a boundary depends on two lines alone, so chunks keep their edges when lines are added or
-removed before them. Chunks of two or more lines that occur more than once in the whole table
-are found by hash and length, compared byte by byte, and removed but for their first place.
-
-Chunks miss most passages of texts with few lines. ``dedup_passages`` finds all that are whole
-sentences or lines: in both directions from each of these units it takes the shortest run of at
-least ``LEAST_WORDS`` words, so a repeated passage is covered by such runs wherever it stands.
+Texts are cut into units: lines, and the sentences of a line. A rolling hash over the hashes of two
+units chooses boundaries: the places where it is the least of three in a row, which depend on four
+units alone, so they are the same wherever the units stand. The chunk at a boundary is its two
+units; a unit of a third of ``LEAST_WORDS`` is a chunk of its own. So every run of ``LEAST_WORDS``
+words or more holds a chunk that the run alone decides: of four units or more it holds three
+rolling hashes in a row, of three or fewer a long unit.
+
+Chunks that occur more than once in the whole table are found by their hashes. Around them, and
+only there, the runs are taken that have ``LEAST_WORDS`` words and would not have them without their
+first or without their last unit. Runs are compared by the SHA-256 of their bytes, and the units
+of all but the first place of each run are removed: together these runs are the whole repeated passage.
 """
 
 from __future__ import annotations
@@ -21,92 +23,26 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Chunks have this many lines on average.
-MODULUS = 4
-#: Fixed values of the rolling hash: base and modulus.
-BASE, PRIME = 1_000_003, 2_147_483_647
-#: Words of the shortest passages that ``dedup_passages`` removes; 12 characters count as a word at least, for scripts without blanks.
+#: Words of the shortest runs that are removed; 12 characters count as a word at least, for scripts without blanks.
 LEAST_WORDS = 50
 #: A sentence or line ends after each of these, so the units of a text put together are the text.
 UNIT_ENDS = ("\n", ". ", "! ", "? ", "\u3002", "\uff01", "\uff1f")
 #: Set after unit ends to split there; a text that holds it is split by a slower pattern.
 MARK = "\x01"
+#: Units of a text whose runs are taken together; bounds the memory of a row, whatever the text's length.
+PIECE = 64
+_FAR = (1 << 63) - 1
 
 
-def line_value(line: Column) -> Column:
-    """32 bits of a line's MD5."""
-    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("bigint")
-
-
-def chunk_array(text: Column) -> Column:
-    """Array of (first, n) of a text's chunks: their first line, from 1, and their number of lines."""
-    values = F.transform(F.split(text, "\n"), line_value)
-
-    def bounds(v: Column) -> Column:
-        roll = lambda x, i: (F.when(i > 0, F.get(v, i - 1)).otherwise(F.lit(0).cast("bigint")) % PRIME * BASE + x) % PRIME
-        marks = F.transform(v, lambda x, i: F.when((roll(x, i) % MODULUS == 0) | (i == F.size(v) - 1), i + 1))
-        return F.array_compact(marks)
-
-    ends = F.transform(F.array(values), bounds)[0]
-    return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, k: F.struct((F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0)) + 1).alias("first"), (end - F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))).alias("n"))))[0]
-
-
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(key, first, n, body) of the multi-line chunks of ``docs`` (key, text)."""
-    cut = docs.filter(F.contains("text", F.lit("\n"))).select("key", F.split("text", "\n").alias("lines"), chunk_array(F.col("text")).alias("chunks"))
-    rows = cut.select("key", "lines", F.explode(F.filter("chunks", lambda c: c["n"] > 1)).alias("c"))
-    return rows.select("key", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("body"))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks to remove, (key, first, n): all but the first place of each repeated multi-line chunk.
-
-    ``docs`` has key (a struct of doc_id and text hash) and text.
-    """
-    marks = materialize(chunk_rows(docs).select("key", "first", "n", F.xxhash64("body").alias("h"), F.octet_length("body").alias("size")), "chunk-hashes")
-    # copies are counted before the shuffle, so a chunk that a third of the documents hold moves as a few rows
-    often = marks.groupBy("h", "size").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
-    places = materialize(marks.join(often, ["h", "size"], "left_semi"), "chunk-places")
-    # sort-merge joins below: lists of chunks grow with the corpus, so they are no side to broadcast
-    by_doc = places.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("chunks"))  # no more than the chunks of a text
-    bodies = docs.join(by_doc.hint("merge"), "key").select("key", F.split("text", "\n").alias("lines"), F.explode("chunks").alias("c"))
-    bodies = bodies.select("key", F.col("c.first").alias("first"), F.col("c.n").alias("n"), F.array_join(F.slice("lines", F.col("c.first"), F.col("c.n")), "\n").alias("body"))
-    bodies = materialize(bodies, "chunk-bodies")
-    # the byte comparison: chunks are one only if their bytes are, whatever their hashes
-    firsts = bodies.groupBy("body").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("places")).filter("places > 1").drop("places")
-    return bodies.join(firsts, "body").filter(~(F.struct("key", "first") == F.col("kept"))).select("key", "first", "n")
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Remove every globally repeated multi-line chunk but its first place (least doc_id, then line).
-
-    Returns all rows and all columns of ``docs`` with ``text`` cleaned (and ``n_chars``, if there is
-    one, brought in line). Only texts that lose a chunk change. A chunk of one line, a null and an
-    empty text stay. Rows with the same doc_id and equal texts are one document: they get the
-    same cleaned text. Null doc_ids come before others. Extra columns pass through untouched,
-    whatever their names; an empty table gives no rows.
-    """
-    row = F.struct(*(docs[c] for c in docs.columns))
-    packed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"), row.alias("row"))
-    gone = repeated_chunks(packed.select("key", "text"))
-    lists = gone.groupBy("key").agg(F.collect_set("first").alias("gone"))
-    lines = F.split("text", "\n")
-    kept = F.filter(chunk_array(F.col("text")), lambda c: ~F.array_contains("gone", c["first"]))
-    clean = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(kept, lambda c: F.array_join(F.slice(ls, c["first"], c["n"]), "\n")), "\n"))[0]
-    joined = packed.join(lists.hint("merge"), "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean))
-    return with_text(docs, joined, "gone")
-
-
-def with_text(docs: DataFrame, joined: DataFrame, gone: str) -> DataFrame:
-    """The columns of ``docs`` from ``row``, with ``clean`` as text and n_chars in line where ``gone`` is not null."""
-    changed = F.col(gone).isNotNull()
+def with_text(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from ``row``, with ``clean`` as text and n_chars in line where ``changed``."""
     out = []
     for c in docs.columns:
         old = F.col("row").getField(c)
         if c == "text":
             out.append(F.col("clean").alias(c))
         elif c == "n_chars":
-            out.append(F.when(changed, F.length("clean").cast(docs.schema[c].dataType)).otherwise(old).alias(c))
+            out.append(F.when(F.col("changed"), F.length("clean").cast(docs.schema[c].dataType)).otherwise(old).alias(c))
         else:
             out.append(old.alias(c))
     return joined.select(*out)
@@ -118,11 +54,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def split_units(text: Column) -> Column:
+    """Units of a text with what ends them."""
     marked = text
     for end in UNIT_ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
     slow = F.split(text, "|".join(f"(?<={re.escape(end)})" for end in UNIT_ENDS))
-    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(F.split(marked, MARK))
+    # no text ends with a separator and an empty unit
+    return F.when(F.contains(text, F.lit(MARK)), F.filter(slow, lambda u: u != "")).otherwise(F.split(F.rtrim(marked, F.lit(MARK)), MARK))
 
 
 def trim(unit: Column) -> Column:
@@ -130,69 +68,102 @@ def trim(unit: Column) -> Column:
     return F.trim(F.replace(unit, F.lit("\n"), F.lit("")))
 
 
-def passage_windows(text: Column) -> Column:
-    """Array of (first, n, h) of a text's windows: their first unit, from 0, their number of units and a hash.
+def words(unit: Column) -> Column:
+    """Words of a trimmed unit, 1 at least."""
+    blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
+    return F.greatest(blanks + 1, F.floor(F.length(unit) / 12).cast("int"))
 
-    A window is the shortest run of units with ``LEAST_WORDS`` words from its first unit on, or up to its last.
-    """
 
-    def words(unit: Column) -> Column:
-        blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
-        return F.greatest(blanks + 1, F.floor(F.length(unit) / 12).cast("int"))
+def chunk_marks(text: Column, least_words: int = LEAST_WORDS) -> Column:
+    """Array of (at, h) of a text's chunks: their first unit, from 0, and a hash."""
+
+    def least(g: Column) -> Column:
+        """Places where ``g`` is the least of three in a row; beyond the ends nothing is less."""
+        at = lambda i: F.coalesce(F.get(g, i), F.lit(_FAR))
+
+        def mark(x: Column, i: Column) -> Column:
+            left, right = x <= at(i - 1), x <= at(i + 1)
+            chosen = (left & right) | (right & (x <= at(i + 2))) | (left & (x <= at(i - 2)))
+            return F.when(chosen, F.struct(i.alias("at"), x.alias("h")))
+
+        return F.array_compact(F.transform(g, mark))
 
     def of(units: Column) -> Column:
-        owner = F.flatten(F.transform(units, lambda u, i: F.array_repeat(i, words(u))))  # the unit of each word
-        begins = lambda o: F.array_compact(F.transform(o, lambda u, x: F.when((x == 0) | (F.get(o, x - 1) != u), x)))
+        long = F.transform(units, lambda u, i: F.when(words(u) * 3 >= least_words, F.struct(i.alias("at"), F.xxhash64(u).alias("h"))))
+        rolling = let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
+        return F.concat(let(rolling, least), F.array_compact(long))
 
-        def spans(o: Column, p: Column) -> Column:
-            onward = F.transform(p, lambda x, i: F.struct(i.alias("first"), F.get(o, x + LEAST_WORDS - 1).alias("last")))
+    return let(F.transform(split_units(text), trim), of)
 
-            def back(x: Column, j: Column) -> Column:
-                first = F.get(o, F.coalesce(F.get(p, j + 1), F.size(o)) - LEAST_WORDS)
-                same = F.get(o, F.get(p, first) + LEAST_WORDS - 1) == j  # the window from there on is this one
-                return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
 
-            return F.filter(F.concat(onward, F.transform(p, back)), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
+def runs_of(units: Column, least_words: int) -> Column:
+    """Array of (first, n) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit."""
+    owner = F.flatten(F.transform(units, lambda u, i: F.array_repeat(i, F.least(words(u), F.lit(least_words)))))  # the unit of each word
+    begins = lambda o: F.array_compact(F.transform(o, lambda u, x: F.when((x == 0) | (F.get(o, x - 1) != u), x)))
 
-        found = let(owner, lambda o: let(begins(o), lambda p: spans(o, p)))
-        named = lambda h, w: let(w["last"] - w["first"] + 1, lambda n: F.struct(w["first"].alias("first"), n.alias("n"), F.xxhash64(F.slice(h, w["first"] + 1, n)).alias("h")))
-        return let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(found, lambda w: named(h, w)))
+    def spans(o: Column, p: Column) -> Column:
+        onward = F.transform(p, lambda x, i: F.struct(i.alias("first"), F.get(o, x + least_words - 1).alias("last")))
 
-    return let(F.transform(split_units(text), trim), of)
+        def back(x: Column, j: Column) -> Column:
+            first = F.get(o, F.coalesce(F.get(p, j + 1), F.size(o)) - least_words)
+            same = F.get(o, F.get(p, first) + least_words - 1) == j  # the run from there on is this one
+            return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
+
+        whole = F.filter(F.concat(onward, F.transform(p, back)), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
+        return F.transform(whole, lambda w: F.struct(w["first"].alias("first"), (w["last"] - w["first"] + 1).alias("n")))
+
+    return let(owner, lambda o: let(begins(o), lambda p: spans(o, p)))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Windows to remove, (key, first, n): all but the first place of each repeated one.
+def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Runs to remove, (key, first, n): all but the first place of each repeated one around repeated chunks.
 
-    ``docs`` has key (a struct of doc_id and text hash) and text.
+    ``docs`` has key, text and ``pieces``, an array of (piece, marks): the number of a piece of the text, of PIECE units
+    where its runs begin, and the units in reach where repeated chunks lie.
     """
-    rows = docs.filter("text is not null").select("key", F.explode(passage_windows(F.col("text"))).alias("w"))
-    marks = materialize(rows.select("key", "w.first", "w.n", "w.h"), "window-hashes")
-    often = marks.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").drop("places")
-    places = marks.join(often.hint("merge"), "h", "left_semi")
-    by_doc = places.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("windows"))  # no more than the windows of a text
-    units = F.transform(split_units(F.col("text")), trim)
-    digest = lambda u, w: F.unhex(F.sha2(F.array_join(F.slice(u, w["first"] + 1, w["n"]), "\n"), 256))
-    named = let(units, lambda u: F.transform("windows", lambda w: F.struct(w["first"].alias("first"), w["n"].alias("n"), digest(u, w).alias("body"))))
-    bodies = docs.join(by_doc.hint("merge"), "key").select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body")
-    bodies = materialize(bodies, "window-bodies")
-    # windows are one only if their SHA-256 is, whatever their short hashes
+    reach = PIECE + least_words  # a run has no more units than words
+    cut = lambda u, p: F.transform(F.slice(u, p["piece"] * PIECE + 1, F.lit(reach)), trim)
+    each = let(split_units(F.col("text")), lambda u: F.transform("pieces", lambda p: F.struct(p["piece"].alias("piece"), p["marks"].alias("marks"), cut(u, p).alias("units"))))
+    rows = docs.select("key", F.explode(each).alias("p")).select("key", (F.col("p.piece") * PIECE).alias("base"), "p.marks", "p.units")
+    near = lambda w: (w["first"] < PIECE) & F.exists("marks", lambda m: (m >= F.col("base") + w["first"]) & (m < F.col("base") + w["first"] + w["n"]))
+    digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("units", w["first"] + 1, w["n"]), "\n"), 256))
+    named = F.transform(F.filter(runs_of(F.col("units"), least_words), near), lambda w: F.struct((F.col("base") + w["first"]).alias("first"), w["n"].alias("n"), digest(w).alias("body")))
+    bodies = materialize(rows.select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body"), "runs")
+    # copies are counted before the shuffle; the small table is written, so that a join with it may split the many places of one run
     firsts = bodies.groupBy("body").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("places")).filter("places > 1").drop("places")
-    # in its own text, a window that overlaps its first place stays
+    firsts = materialize(firsts, "first-places")
+    # in its own text, a run that overlaps its first place stays
     apart = ~F.col("key").eqNullSafe(F.col("kept.key")) | (F.col("first") >= F.col("kept.first") + F.col("n"))
     return bodies.join(firsts.hint("merge"), "body").filter(apart).select("key", "first", "n")
 
 
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """Remove every repeated run of whole sentences or lines of ``LEAST_WORDS`` words or more but its first place.
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Remove every globally repeated run of whole lines or sentences of ``least_words`` words or more but its first place.
 
-    Rows, columns, keys and order are as in ``dedup_lines``. Blanks and line ends between units do not
-    count in the comparison. Each unit that goes is still there at an earlier place. A unit of its own
-    that is shorter than ``LEAST_WORDS``, and a passage without that many words in whole units, stay.
+    The first place is that of the least doc_id, then of the least unit. Returns all rows and all columns of
+    ``docs`` with ``text`` cleaned (and ``n_chars``, if there is one, brought in line). Only texts that lose a unit
+    change, and each unit that goes is still there at an earlier place. Blanks and line ends between
+    units do not count in the comparison; the last unit left loses its line end if units after it go.
+    Shorter runs stay, as does a passage without that many words in whole units. Nulls and empty texts
+    stay. Rows with the same doc_id and equal texts are one document: they get the same cleaned text.
+    Null doc_ids come before others. Extra columns pass through untouched, whatever their names; an
+    empty table gives no rows.
     """
     row = F.struct(*(docs[c] for c in docs.columns))
-    packed = docs.select(F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key"), F.col("text").alias("text"), row.alias("row"))
-    lists = repeated_windows(packed.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key")
+    chunks = docs.filter("text is not null").select(key, F.explode(chunk_marks(F.col("text"), least_words)).alias("c")).select("key", "c.at", "c.h")
+    marks = materialize(chunks, "chunk-marks")
+    often = materialize(marks.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select("h"), "repeated-chunks")
+    # sort-merge joins below: lists of chunks grow with the corpus, so they are no side to broadcast
+    places = marks.join(often.hint("merge"), "h", "left_semi")
+    first_piece = F.floor(F.greatest(F.col("at") - least_words, F.lit(0)) / PIECE).cast("int")
+    spread = places.select("key", "at", F.explode(F.sequence(first_piece, F.floor(F.col("at") / PIECE).cast("int"))).alias("piece"))
+    pieces = spread.groupBy("key", "piece").agg(F.collect_set("at").alias("marks"))  # no more than the units in a piece's reach
+    lists = pieces.groupBy("key").agg(F.collect_list(F.struct("piece", "marks")).alias("pieces"))  # no more than the pieces of a text
+    marked = materialize(docs.select(key, row.alias("row")).join(lists.hint("merge"), "key", "left"), "marked")
+    touched = marked.filter("pieces is not null").withColumn("text", F.col("row.text"))
+    gone = repeated_runs(touched.select("key", "text", "pieces"), least_words)
+    runs = gone.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     without = F.flatten(F.transform("gone", lambda w: F.sequence(w["first"], w["first"] + w["n"] - 1)))
 
     def rest(units: Column) -> Column:
@@ -201,5 +172,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         unit = lambda k, i: F.when((i == F.element_at(k, -1)) & (i < F.size(units) - 1), F.rtrim(F.replace(F.get(units, i), F.lit("\n"), F.lit("")))).otherwise(F.get(units, i))
         return let(left, lambda k: F.array_join(F.transform(k, lambda i: unit(k, i)), ""))
 
-    joined = packed.join(lists.hint("merge"), "key", "left").withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(split_units(F.col("text")), rest)))
-    return with_text(docs, joined, "gone")
+    joined = touched.select("key", "row", "text").join(runs.hint("merge"), "key", "left")
+    joined = joined.withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(split_units(F.col("text")), rest)))
+    changed = joined.select("row", "clean", F.col("gone").isNotNull().alias("changed"))
+    same = marked.filter("pieces is null").select("row", F.col("row.text").alias("clean"), F.lit(False).alias("changed"))
+    return with_text(docs, same.unionByName(changed))

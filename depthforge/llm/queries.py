@@ -84,22 +84,29 @@ FROM d LEFT JOIN g USING (i)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's text without repeated multi-line chunks."""
+    """Every document's text without repeated runs of lines and sentences."""
     docs = read_table(spark, sf_dir, "documents")
     return line_dedup.dedup_lines(docs).select("doc_id", "text", F.length("text").cast("bigint").alias("clean_chars"))
 
 
-OP4_SQL = f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, line, i, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS x FROM l),
-r AS (SELECT *, (coalesce(lag(x) OVER w, 0) % {line_dedup.PRIME} * {line_dedup.BASE} + x) % {line_dedup.PRIME} % {line_dedup.MODULUS} = 0 AS mark FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-c AS (SELECT *, coalesce(sum(CAST(mark AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM r),
-b AS (SELECT doc_id, chunk, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
-k AS (SELECT *, row_number() OVER (PARTITION BY body, n > 1 ORDER BY doc_id, chunk) AS place FROM b),
-t AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY chunk) AS text FROM k WHERE n = 1 OR place = 1 GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
-  length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END) AS clean_chars
-FROM documents d LEFT JOIN t USING (doc_id)
+# all runs of all texts are compared here, without chunks
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+s AS (SELECT r, doc_id, list_filter(regexp_extract_all(text, '(?s).*?(?:\n|[.!?] |[\x{{3002}}\x{{FF01}}\x{{FF1F}}]|$)'), lambda x: x <> '') AS us FROM d WHERE text IS NOT NULL),
+u AS (SELECT r, doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS i, len(us) AS units FROM s),
+v AS (SELECT *, trim(replace(unit, chr(10), '')) AS t FROM u),
+w AS (SELECT *, greatest(length(t) - length(replace(t, ' ', '')) + 1, length(t) // 12) AS n FROM v),
+p AS (SELECT *, sum(n) OVER (PARTITION BY r ORDER BY i) AS upto FROM w),
+l AS (SELECT r, list(t ORDER BY i) AS ts FROM p GROUP BY r),
+q AS (SELECT a.r, a.doc_id, a.i AS f, b.i AS e FROM p a JOIN p b ON a.r = b.r AND b.i >= a.i AND b.i < a.i + {line_dedup.LEAST_WORDS}
+  WHERE b.upto - a.upto + a.n >= {line_dedup.LEAST_WORDS} AND (b.upto - b.n - a.upto + a.n < {line_dedup.LEAST_WORDS} OR b.upto - a.upto < {line_dedup.LEAST_WORDS})),
+b AS (SELECT q.*, array_to_string(ts[f:e], chr(10)) AS body FROM q JOIN l USING (r)),
+k AS (SELECT *, first_value(doc_id) OVER o AS kept_doc, first_value(e) OVER o AS kept_end FROM b WINDOW o AS (PARTITION BY body ORDER BY doc_id NULLS FIRST, f)),
+g AS (SELECT DISTINCT r, unnest(range(f, e + 1)) AS i FROM k WHERE doc_id IS DISTINCT FROM kept_doc OR f > kept_end),
+z AS (SELECT p.r, p.i, p.unit, p.units, max(p.i) OVER (PARTITION BY p.r) AS last FROM p LEFT JOIN g ON p.r = g.r AND p.i = g.i WHERE g.i IS NULL),
+t AS (SELECT r, string_agg(CASE WHEN i = last AND i < units THEN rtrim(replace(unit, chr(10), ''), ' ') ELSE unit END, '' ORDER BY i) AS text FROM z GROUP BY r),
+c AS (SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text FROM d LEFT JOIN t USING (r))
+SELECT doc_id, text, length(text) AS clean_chars FROM c
 """
 
 

@@ -199,99 +199,76 @@ def test_trigram_queries():
 # --- lines --------------------------------------------------------------------------------------------
 
 
-def brute_lines(docs):
-    value = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
-    chunks = {}
+def units_of(text):
+    return [u for u in re.split(r"(?<=\n)|(?<=[.!?] )|(?<=[。！？])", text) if u] or [""]
+
+
+def brute_runs(docs, least):
+    """Texts of ``docs`` (doc_id, text) without the units of repeated runs, all runs of all texts compared."""
+    bare = {d: [u.replace("\n", "").strip(" ") for u in units_of(t)] for d, t in docs if t is not None}
+    size = {d: [max(u.count(" ") + 1, len(u) // 12) for u in us] for d, us in bare.items()}
+    places = defaultdict(list)
+    for d, us in sorted(bare.items()):
+        for i in range(len(us)):
+            for j in range(i + 1, len(us) + 1):
+                n = size[d][i:j]
+                if sum(n) >= least and (sum(n[:-1]) < least or sum(n[1:]) < least):
+                    places[tuple(us[i:j])].append((d, i, j))
+                if sum(n[1:]) >= least:
+                    break
+    gone = defaultdict(set)
+    for spots in places.values():
+        kept, _, end = min(spots)
+        for d, i, j in spots:
+            if d != kept or i >= end:
+                gone[d].update(range(i, j))
+    out = {}
     for d, t in docs:
-        if t is None:
+        if t is None or not gone[d]:
+            out[d] = t
             continue
-        now, out, before = [], [], 0
-        lines = t.split("\n")
-        for i, line in enumerate(lines):
-            x = value(line)
-            now.append(line)
-            if (before % line_dedup.PRIME * line_dedup.BASE + x) % line_dedup.PRIME % line_dedup.MODULUS == 0 or i == len(lines) - 1:
-                out.append(now)
-                now = []
-            before = x
-        chunks[d] = out
-    seen, result = set(), {}
-    for d in sorted(chunks):
-        kept = []
-        for c in chunks[d]:
-            if len(c) > 1 and tuple(c) in seen:
-                continue
-            if len(c) > 1:
-                seen.add(tuple(c))
-            kept.append("\n".join(c))
-        result[d] = "\n".join(kept)
-    return result
-
-
-def test_lines(spark, odd, empty):
-    rng = random.Random(6)
-    shared = "\n".join(prose(rng, 8) for _ in range(25))
-    texts = []
-    for _ in range(30):
-        own = [prose(rng, 6) for _ in range(rng.randrange(0, 6))]
-        texts.append("\n".join([*own[:2], *([shared] if rng.random() < 0.6 else []), *own[2:]]))
-    texts += [shared, "a", "", None, "same line\nsame line", "\n\n\n"]
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
-    want = brute_lines(list(enumerate(texts)))
-    assert {k: r["text"] for k, r in got.items()} == {k: want.get(k) for k in got} and len(got) == len(texts)
-    assert sum(r["text"] is not None and shared[-60:] in r["text"] for r in got.values()) < sum(shared in (t or "") for t in texts)
-    out = line_dedup.dedup_lines(odd)
-    assert out.columns == odd.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, odd.collect()))
-    assert line_dedup.dedup_lines(empty).count() == 0
-
-
-def units_of(text):
-    return [u.strip() for u in re.split(r"(?<=\n)|(?<=[.!?]\s)", text)]
-
-
-def passages(text):
-    """Every shortest run of whole units with at least 50 words."""
-    units = units_of(text)
-    for i in range(len(units)):
-        for j in range(i + 1, len(units) + 1):
-            if sum(len(u.split()) for u in units[i:j]) >= line_dedup.LEAST_WORDS:
-                yield tuple(units[i:j])
-                break
+        us = units_of(t)
+        left = [i for i in range(len(us)) if i not in gone[d]]
+        out[d] = "".join(us[i].replace("\n", "").rstrip(" ") if i == left[-1] and i < len(us) - 1 else us[i] for i in left)
+    return out
 
 
-def test_passages(spark, odd, empty):
+@pytest.mark.parametrize("piece, least", [(64, 50), (4, 12)])
+def test_runs_by_brute_force(spark, odd, empty, monkeypatch, piece, least):
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
     rng = random.Random(16)
-    sentence = lambda: prose(rng, rng.randrange(4, 13)) + rng.choice([".", "!", "?"])
-    shared = [[sentence() for _ in range(n)] for n in (9, 14, 30)] + [[prose(rng, 60) + "."]]
+    sentence = lambda: prose(rng, rng.randrange(1, 13)) + rng.choice([".", "!", "?", "\n", "。", "  ."])
+    shared = [[sentence() for _ in range(n)] for n in (3, 9, 14, 30)] + [[prose(rng, 60) + "."], [prose(rng, 26) + ".", prose(rng, 24) + "."]]
     texts = []
     for k in range(40):
         own = [sentence() for _ in range(rng.randrange(2, 20))]
         at = rng.randrange(len(own) + 1)
-        parts = own[:at] + (shared[k % 4] if rng.random() < 0.8 else []) + own[at:]
-        texts.append("".join(p + rng.choice([" ", "\n"]) for p in parts).rstrip())
-    texts += ["", None, "a.", ("x. " * 120).rstrip(), " ".join(shared[0]) + " \x01 end.", "\x01\n" + " ".join(shared[0]) + "\nnew \x01", "  own. \n" + " ".join(shared[0]), " ".join(shared[0]) + "\n  own. \n"]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_passages(table(spark, texts)).collect()}
-    assert len(got) == len(texts) and got[40] == "" and got[41] is None and got[42] == "a."
-    assert got[43].split() == ["x."] * 50  # the first place of a text that repeats itself stays whole
-    assert got[44] == "\x01 end." and got[45] == "\x01\nnew \x01" and got[46] == "  own. " and got[47] == "  own. \n"
-    seen, kept = set(), Counter()
-    for d, t in enumerate(texts[:40]):
-        mine = list(passages(t))
-        assert (got[d] != t) == any(p in seen for p in mine)
-        assert not seen & set(passages(got[d]))
-        # what goes is units of repeated passages and nothing else
-        lost = Counter(units_of(t)) - Counter(units_of(got[d]))
-        assert set(lost) <= {u for s in shared for u in s}
-        kept.update(units_of(got[d]))
-        seen.update(mine)
-    assert all(kept[u] for t in texts[:40] for u in units_of(t))
-    out = line_dedup.dedup_passages(odd)
+        parts = own[:at] + (shared[k % 6][rng.choice([0, 0, 0, 1]) :] if rng.random() < 0.8 else []) + own[at:]
+        texts.append("".join(p + rng.choice([" ", " ", "\n"]) for p in parts).rstrip())
+    texts += ["", None, "a.", ("x. " * 120).rstrip(), " ".join(shared[2]) + " \x01 end.", "\x01\n" + " ".join(shared[2]) + "\nnew \x01", "  own. \n" + " ".join(shared[2]), " ".join(shared[2]) + "\n  own. \n", "。".join("中文書語言" * k for k in range(3, 30)), "。".join("中文書語言" * k for k in range(1, 30)), "\n" * 130, "same line\nsame line"]
+    docs = table(spark, texts).withColumn("n_chars", F.length("text"))
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs, least).collect()}
+    want = brute_runs(list(enumerate(texts)), least)
+    assert {k: r["text"] for k, r in got.items()} == want and len(got) == len(texts)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.values())
+    assert sum(want[k] != t for k, t in enumerate(texts)) > 20
+    out = line_dedup.dedup_lines(odd)
     assert out.columns == odd.columns and Counter(map(tuple, out.collect())) == Counter(map(tuple, odd.collect()))
-    assert line_dedup.dedup_passages(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_runs_of_repeated_ids(spark):
+    """Rows of one doc_id with other texts are documents of their own; equal rows are one."""
+    rng = random.Random(22)
+    passage = " ".join(prose(rng, 9) + "." for _ in range(8))
+    rows = [(1, passage), (1, passage), (1, "Own. " + passage), (2, passage + " More."), (None, "Before. " + passage)]
+    docs = spark.createDataFrame([(i, t, "h", 1, 2) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == Counter([(None, "Before. " + passage), (1, ""), (1, ""), (1, "Own."), (2, "More.")])
 
 
 def test_stage_removes_passages(spark):
-    """Passages of few long lines, which lie between two boundaries of no chunk."""
+    """Passages of few long lines."""
     import corpus_pipeline
 
     rng = random.Random(17)
