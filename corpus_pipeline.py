@@ -29,9 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated multi-line chunks, then all other repeated passages; a document that nothing is left of goes."""
-    lines = materialize(line_dedup.dedup_lines(docs), "line-chunks")
-    return line_dedup.dedup_passages(lines).filter("text is null or text <> ''")
+    """Remove repeated runs of lines and sentences; a document that nothing is left of goes."""
+    return line_dedup.dedup_lines(docs).filter("text is null or text <> ''")
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
