@@ -26,6 +26,10 @@ Q = 8
 EDIT_RATE = 0.08
 #: Characters of items in one index; a larger benchmark is handled in blocks of items, one pass each.
 INDEX_CHARS = 4_000_000
+#: Pairs of a text's and an item's q-gram that are held at once; bounds the memory of texts and items of few kinds of q-grams.
+PAIRS = 1 << 20
+#: Times a q-gram may occur in an item before only some of its places are kept.
+OFTEN = 32
 _BITS = 22
 BASE = 0x9E3779B1
 _SLOTS = 1 << 20
@@ -88,6 +92,7 @@ class ItemIndex:
     first: np.ndarray  # of each hash, its first entry in item and place
     item: np.ndarray
     place: np.ndarray
+    slack: np.ndarray  # of each item, how far a kept place may be from one that is not
     member: np.ndarray
     short: list[int]  # items with fewer than q characters
     q: int
@@ -101,11 +106,28 @@ class ItemIndex:
         item = np.repeat(np.arange(len(codes)), [len(h) for h in hashes])
         place = np.concatenate([np.arange(len(h)) for h in hashes]) if codes else np.empty(0, dtype=np.int64)
         every = np.concatenate(hashes) if codes else np.empty(0, dtype=np.uint32)
-        order = np.argsort(every, kind="stable")
-        grams, first = np.unique(every[order], return_index=True)
+        order = np.lexsort((place, item, every))
+        every, item, place = every[order], item[order], place[order]
+        slack = np.zeros(len(codes), dtype=np.int64)
+        keep = np.ones(len(every), dtype=bool)
+        new = np.flatnonzero((every[1:] != every[:-1]) | (item[1:] != item[:-1])) + 1
+        edges = np.concatenate([[0], new, [len(every)]])
+        for k in np.flatnonzero(np.diff(edges) > OFTEN):
+            a, b = edges[k : k + 2]
+            if far := int(budget[item[a]]):
+                # a q-gram that an item is full of: each place left out has one within the item's budget before it
+                slack[item[a]] = far
+                at = place[a:b]
+                kept, last = np.zeros(b - a, dtype=bool), 0
+                while last < b - a:
+                    kept[last] = True
+                    last = int(np.searchsorted(at, at[last] + far, side="right"))
+                keep[a:b] = kept
+        every, item, place = every[keep], item[keep], place[keep]
+        grams, first = np.unique(every, return_index=True)
         member = np.zeros(1 << _BITS, dtype=bool)
         member[(grams >> np.uint32(32 - _BITS)).astype(np.int64)] = True
-        return cls(ids, codes, budget, size + 1 - q - q * budget, grams, np.append(first, len(every)), item[order], place[order], member, [i for i, c in enumerate(codes) if 0 < len(c) < q], q)
+        return cls(ids, codes, budget, size + 1 - q - q * budget, grams, np.append(first, len(every)), item, place, slack, member, [i for i, c in enumerate(codes) if 0 < len(c) < q], q)
 
 
 def banded_distance(a: list[np.ndarray], b: list[np.ndarray], shift: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +187,7 @@ def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tup
     real = index.grams[np.minimum(found, len(index.grams) - 1)] == h[at]
     at, found = at[real], found[real]
     # a band needs many hits in a stretch as long as an item: drop hits in stretches with too few of them
-    longest = int(max(len(c) for c in index.codes) + index.budget.max())
+    longest = int(max(len(c) for c in index.codes) + index.budget.max() + index.slack.max())
     need = int(index.least.min())
     near = np.searchsorted(at, at + longest, side="right") - np.searchsorted(at, at - longest)
     keep = near >= need
@@ -175,53 +197,66 @@ def find_regions(index: ItemIndex, codes: np.ndarray, bounds: np.ndarray) -> tup
     keep = at + index.q <= bounds[doc + 1]
     at, found, doc = at[keep], found[keep], doc[keep]
     n = index.first[found + 1] - index.first[found]
-    total = int(n.sum())
-    if not total:
+    if not int(n.sum()):
         return empty, empty, empty, empty
-    entry = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(total)
-    item, diagonal = index.item[entry], np.repeat(at, n) - index.place[entry] + longest
-    # bands of 2w diagonals that overlap by w = budget + 1, so that any e + 1 neighbours lie in one
-    width = index.budget[item] + 1
-    doc = np.repeat(doc, n)
+    # bands of 2w diagonals that overlap by w, so that any e + 1 neighbours, each off by the slack at most, lie in one
+    widths = index.budget + 2 * index.slack + 1
     # documents with hits are set so far apart that no band holds diagonals of two
-    gap = longest + 2 * (int(index.budget.max()) + 1)
-    apart = diagonal + np.unique(doc, return_inverse=True)[1] * gap
+    apart = at + longest + np.unique(doc, return_inverse=True)[1] * (longest + 2 * int(widths.max()))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.cumsum(n) // PAIRS)) + 1, [len(n)]])
+
+    def pairs(a: int, b: int, half: int) -> tuple[np.ndarray, ...]:
+        """Item, number of the hit, diagonal and band of the pairs of hits a to b."""
+        m = n[a:b]
+        entry = np.repeat(index.first[found[a:b]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        item, hit, place = index.item[entry], np.repeat(np.arange(a, b), m), index.place[entry]
+        return item, hit, at[hit] - place, (apart[hit] - place + half * widths[item]) // (2 * widths[item])
+
     out = []
     for half in (0, 1):
-        band = (apart + half * width) // (2 * width)
         # a slot's count is no less than that of any band in it, so bands in slots below the bound are done with
-        slot = (item * 0x9E3779B1 + band * 0x85EBCA77) & (_SLOTS - 1)
-        some = np.flatnonzero(np.bincount(slot, minlength=_SLOTS)[slot] >= index.least[item])
-        if not len(some):
-            continue
-        kinds, which, count = np.unique(item[some] * (1 << 40) + band[some], return_inverse=True, return_counts=True)
-        full = count >= index.least[kinds >> 40]
-        hit = full[which]
-        if not hit.any():
-            continue
-        group = which[hit]
-        diag = diagonal[some][hit]
-        low, high = np.full(len(kinds), np.iinfo(np.int64).max), np.full(len(kinds), -1)
-        np.minimum.at(low, group, diag)
-        np.maximum.at(high, group, diag)
-        owner = np.zeros(len(kinds), dtype=np.int64)
-        owner[group] = doc[some][hit]
-        sure = np.flatnonzero(full)
-        out.append(np.stack([kinds[sure] >> 40, low[sure] - longest, high[sure] - longest, owner[sure]]))
+        slots = np.zeros(_SLOTS, dtype=np.int64)
+        held, found_in = None, []
+        slot_of = lambda item, band: (item * 0x9E3779B1 + band * 0x85EBCA77) & (_SLOTS - 1)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            held = pairs(a, b, half)
+            slots += np.bincount(slot_of(held[0], held[3]), minlength=_SLOTS)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            item, hit, diagonal, band = held if len(cuts) == 2 else pairs(a, b, half)
+            some = np.flatnonzero(slots[slot_of(item, band)] >= index.least[item])
+            if len(some):
+                found_in.append(_by_kind(item[some] * (1 << 40) + band[some], np.ones(len(some), dtype=np.int64), diagonal[some], diagonal[some], doc[hit[some]]))
+        if found_in:
+            kinds, count, low, high, owner = _by_kind(*map(np.concatenate, zip(*found_in, strict=True)))
+            item = kinds >> 40
+            sure = np.flatnonzero(count >= index.least[item])
+            out.append(np.stack([item[sure], low[sure] - index.slack[item[sure]], high[sure] + index.slack[item[sure]], owner[sure]]))
     if not out:
         return empty, empty, empty, empty
     item, low, high, doc = np.unique(np.concatenate(out, axis=1), axis=1)
     return doc, item, low, high
 
 
+def _by_kind(kind: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each kind: its count, its ends and an owner."""
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+    return kind[first], np.add.reduceat(count[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), owner[order][first]
+
+
 def find_leaks(index: ItemIndex, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(text number, item number, start, end, edits) of the best region of each item in each text."""
     codes, origin, bounds = normalized(texts)
     doc, item, low, high = find_regions(index, codes, bounds)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     size = np.array([len(c) for c in index.codes])
-    for at in range(0, len(doc), 2000):
-        part = slice(at, at + 2000)
+    step = max(1, min(2000, PAIRS // int(size.max(initial=1))))
+    for at in range(0, len(doc), step):
+        # regions go by their diagonals, so of an item found without edits no later one is better
+        part = np.array([k for k in range(at, min(at + step, len(doc))) if best.get((int(doc[k]), int(item[k])), (1,))[0]], dtype=np.int64)
+        if not len(part):
+            continue
         d, t, e = doc[part], item[part], index.budget[item[part]]
         lo = low[part] - e
         width = high[part] - low[part] + 2 * e + 1

@@ -507,6 +507,32 @@ def test_leaks_cut_at_the_start():
     assert all(found[2 * n + 1, i] <= k for n, (i, k) in enumerate(cases))
 
 
+def test_leaks_of_few_kinds_of_grams(monkeypatch):
+    """Items and texts that repeat a few characters: bounded memory, and the leaks of a comparison in one go."""
+    rng = random.Random(23)
+    items = ["0" * 400, "ab" * 100, "x" * 300 + prose(rng, 10), prose(rng, 30)]
+    index = decontaminate.ItemIndex.build([0, 1, 2, 3], items, decontaminate.Q, decontaminate.EDIT_RATE)
+    assert index.slack[:3].all() and not index.slack[3]
+    cut = lambda t, k: "".join(c for i, c in enumerate(t) if i % k)
+    texts = ["0" * 5000, "0" * 395, "0" * 300, cut(items[0], 14), "9" + "0" * 200 + "77" + "0" * 199, "ab" * 99 + "b", prose(rng, 9), "y " + items[2][5:] + ". " + items[3], cut(items[2], 30)]
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if edit_distance_inside(item, t) <= index.budget[i]}
+    assert {(d, i) for d, i, *_ in decontaminate.find_leaks(index, texts)} == want and len(want) > 6
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    assert {(d, i) for d, i, *_ in decontaminate.find_leaks(index, texts)} == want
+
+
+def test_leaks_in_a_long_run_of_one_character():
+    """A text of 2 MB of one character, as much as is scanned at once, against an item of the same stays within 600 MB."""
+    import tracemalloc
+
+    index = decontaminate.ItemIndex.build([0], ["0" * 400], decontaminate.Q, decontaminate.EDIT_RATE)
+    tracemalloc.start()
+    assert [x[:2] for x in decontaminate.find_leaks(index, ["0" * 2_000_000])] == [(0, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20, peak
+
+
 # --- shards ---------------------------------------------------------------------------------------------------------------
 
 
