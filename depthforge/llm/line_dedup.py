@@ -7,8 +7,8 @@ units; a unit of a third of ``LEAST_WORDS`` is a chunk of its own. So every run
 words or more holds a chunk that the run alone decides: of four units or more it holds three
 rolling hashes in a row, of three or fewer a long unit.
 
-Chunks that occur more than once in the whole table are found by their hashes. Around them, and
-only there, the runs are taken that have ``LEAST_WORDS`` words and would not have them without their
+Chunks that occur more than once in the whole table are found by their hashes; texts that are equal as a
+whole are found by their SHA-256 first and count as one. Around repeated chunks, and only there, the runs are taken that have ``LEAST_WORDS`` words and would not have them without their
 first or without their last unit. Runs are compared by the SHA-256 of their bytes, and the units
 of all but the first place of each run are removed: together these runs are the whole repeated passage.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ UNIT_ENDS = ("\n", ". ", "! ", "? ", "\u3002", "\uff01", "\uff1f")
 #: Set after unit ends to split there; a text that holds it is split by a slower pattern.
 MARK = "\x01"
 #: Units of a text whose runs are taken together; bounds the memory of a row, whatever the text's length.
-PIECE = 64
+PIECE = 128
 _FAR = (1 << 63) - 1
 
 
@@ -63,9 +64,14 @@ def split_units(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.filter(slow, lambda u: u != "")).otherwise(F.split(F.rtrim(marked, F.lit(MARK)), MARK))
 
 
-def trim(unit: Column) -> Column:
-    """A unit without blanks around it and without its line end, the only one it can have."""
-    return F.trim(F.replace(unit, F.lit("\n"), F.lit("")))
+def bare_units(text: Column) -> Column:
+    """The same units without their ends and without blanks around them, found with less work where all ends are line ends or end in a blank."""
+    ends = "".join(end[0] for end in UNIT_ENDS if end[1:] == " ")
+    cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, f" (?<=[{ends}] )")))
+    whole = lambda us: F.when((F.element_at(us, -1) == "") & (F.size(us) > 1), F.slice(us, F.lit(1), F.size(us) - 1)).otherwise(us)
+    others = [F.contains(text, F.lit(end)) for end in UNIT_ENDS if end[-1] not in "\n "]
+    slow = F.transform(split_units(text), lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(""))))
+    return F.when(reduce(Column.__or__, others), slow).otherwise(F.transform(let(cut, whole), F.trim))
 
 
 def words(unit: Column) -> Column:
@@ -74,45 +80,50 @@ def words(unit: Column) -> Column:
     return F.greatest(blanks + 1, F.floor(F.length(unit) / 12).cast("int"))
 
 
+def rolling_hashes(units: Column) -> Column:
+    """A hash of each two neighbours of ``units``."""
+    return let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
+
+
 def chunk_marks(text: Column, least_words: int = LEAST_WORDS) -> Column:
     """Array of (at, h) of a text's chunks: their first unit, from 0, and a hash."""
 
     def least(g: Column) -> Column:
         """Places where ``g`` is the least of three in a row; beyond the ends nothing is less."""
-        at = lambda i: F.coalesce(F.get(g, i), F.lit(_FAR))
+        beyond = F.array(F.lit(_FAR), F.lit(_FAR))
 
-        def mark(x: Column, i: Column) -> Column:
-            left, right = x <= at(i - 1), x <= at(i + 1)
-            chosen = (left & right) | (right & (x <= at(i + 2))) | (left & (x <= at(i - 2)))
+        def mark(p: Column, x: Column, i: Column) -> Column:
+            left, right = x <= F.get(p, i + 1), x <= F.get(p, i + 3)
+            chosen = (left & right) | (right & (x <= F.get(p, i + 4))) | (left & (x <= F.get(p, i)))
             return F.when(chosen, F.struct(i.alias("at"), x.alias("h")))
 
-        return F.array_compact(F.transform(g, mark))
+        return let(F.concat(beyond, g, beyond), lambda p: F.array_compact(F.transform(g, lambda x, i: mark(p, x, i))))
 
     def of(units: Column) -> Column:
         long = F.transform(units, lambda u, i: F.when(words(u) * 3 >= least_words, F.struct(i.alias("at"), F.xxhash64(u).alias("h"))))
-        rolling = let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
-        return F.concat(let(rolling, least), F.array_compact(long))
+        return F.concat(let(rolling_hashes(units), least), F.array_compact(long))
 
-    return let(F.transform(split_units(text), trim), of)
+    return let(bare_units(text), of)
 
 
 def runs_of(units: Column, least_words: int) -> Column:
     """Array of (first, n) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit."""
-    owner = F.flatten(F.transform(units, lambda u, i: F.array_repeat(i, F.least(words(u), F.lit(least_words)))))  # the unit of each word
-    begins = lambda o: F.array_compact(F.transform(o, lambda u, x: F.when((x == 0) | (F.get(o, x - 1) != u), x)))
+    sizes = F.transform(units, lambda u: F.least(words(u), F.lit(least_words)))
 
-    def spans(o: Column, p: Column) -> Column:
-        onward = F.transform(p, lambda x, i: F.struct(i.alias("first"), F.get(o, x + least_words - 1).alias("last")))
+    def spans(n: Column, p: Column, o: Column) -> Column:
+        onward = F.transform(n, lambda _, i: F.struct(i.alias("first"), F.get(o, F.get(p, i) + least_words - 1).alias("last")))
 
-        def back(x: Column, j: Column) -> Column:
-            first = F.get(o, F.coalesce(F.get(p, j + 1), F.size(o)) - least_words)
+        def back(j: Column) -> Column:
+            first = F.get(o, F.get(p, j + 1) - least_words)
             same = F.get(o, F.get(p, first) + least_words - 1) == j  # the run from there on is this one
             return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
 
-        whole = F.filter(F.concat(onward, F.transform(p, back)), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
+        whole = F.filter(F.concat(onward, F.transform(n, lambda _, j: back(j))), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
         return F.transform(whole, lambda w: F.struct(w["first"].alias("first"), (w["last"] - w["first"] + 1).alias("n")))
 
-    return let(owner, lambda o: let(begins(o), lambda p: spans(o, p)))
+    before = lambda n: F.aggregate(n, F.array(F.lit(0)), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))  # noqa: E731  words before each unit
+    owner = lambda n: F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, x)))  # noqa: E731  the unit of each word
+    return let(sizes, lambda n: let(before(n), lambda p: let(owner(n), lambda o: spans(n, p, o))))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -122,10 +133,21 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     where its runs begin, and the units in reach where repeated chunks lie.
     """
     reach = PIECE + least_words  # a run has no more units than words
-    cut = lambda u, p: F.transform(F.slice(u, p["piece"] * PIECE + 1, F.lit(reach)), trim)
-    each = let(split_units(F.col("text")), lambda u: F.transform("pieces", lambda p: F.struct(p["piece"].alias("piece"), p["marks"].alias("marks"), cut(u, p).alias("units"))))
-    rows = docs.select("key", F.explode(each).alias("p")).select("key", (F.col("p.piece") * PIECE).alias("base"), "p.marks", "p.units")
-    near = lambda w: (w["first"] < PIECE) & F.exists("marks", lambda m: (m >= F.col("base") + w["first"]) & (m < F.col("base") + w["first"] + w["n"]))
+    cut = lambda u, p: F.struct(p["piece"].alias("piece"), p["marks"].alias("marks"), F.slice(u, p["piece"] * PIECE + 1, F.lit(reach)).alias("units"))
+    each = let(bare_units(F.col("text")), lambda u: F.transform("pieces", lambda p: cut(u, p)))
+    base = F.col("p.piece") * PIECE
+    rows = docs.select("key", F.explode(each).alias("p")).select("key", base.alias("base"), "p.units", "p.marks")
+    repeated = lambda i: F.array_contains("marks", F.col("base") + i)
+
+    def lone(g: Column) -> Column:
+        """Whether the chunk at the least of each three rolling hashes in a row is no repeated one."""
+        least = lambda x, i: F.when((x <= F.get(g, i + 1)) & (x <= F.get(g, i + 2)), i).when(F.get(g, i + 1) <= F.get(g, i + 2), i + 1).otherwise(i + 2)
+        return F.transform(F.slice(g, F.lit(1), F.greatest(F.size(g) - 2, F.lit(0))), lambda x, i: ~repeated(least(x, i)))
+
+    rows = rows.select("key", "base", "units", let(rolling_hashes(F.col("units")), lone).alias("lone"), F.transform("units", lambda _, i: repeated(i)).alias("marked"))
+    # a repeated run has repeated chunks only
+    whole = lambda w: F.when(w["n"] > 3, ~F.array_contains(F.slice("lone", w["first"] + 1, w["n"] - 3), True)).otherwise(F.array_contains(F.slice("marked", w["first"] + 1, w["n"]), True))
+    near = lambda w: (w["first"] < PIECE) & whole(w)
     digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("units", w["first"] + 1, w["n"]), "\n"), 256))
     named = F.transform(F.filter(runs_of(F.col("units"), least_words), near), lambda w: F.struct((F.col("base") + w["first"]).alias("first"), w["n"].alias("n"), digest(w).alias("body")))
     bodies = materialize(rows.select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body"), "runs")
@@ -137,6 +159,15 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return bodies.join(firsts.hint("merge"), "body").filter(apart).select("key", "first", "n")
 
 
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """Keys of the documents whose whole text an earlier document has, from ``docs`` (key, text)."""
+    ids = materialize(docs.filter("text is not null").select("key", F.unhex(F.sha2("text", 256)).alias("body")), "texts")
+    known = ids.groupBy("body").agg(F.min("key.doc_id").alias("least"), F.max("key.doc_id").alias("most"), F.count_if(F.col("key.doc_id").isNull()).alias("nulls"))
+    known = known.filter("least < most or (nulls > 0 and least is not null)").select("body", F.when(F.col("nulls") == 0, F.col("least")).alias("least"))
+    known = materialize(known, "copied-texts")
+    return ids.join(known.hint("merge"), "body").filter(~F.col("key.doc_id").eqNullSafe(F.col("least"))).select("key").distinct()
+
+
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Remove every globally repeated run of whole lines or sentences of ``least_words`` words or more but its first place.
 
@@ -153,14 +184,20 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("key")
     chunks = docs.filter("text is not null").select(key, F.explode(chunk_marks(F.col("text"), least_words)).alias("c")).select("key", "c.at", "c.h")
     marks = materialize(chunks, "chunk-marks")
-    often = materialize(marks.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select("h"), "repeated-chunks")
+    # a chunk is repeated if it has two places, in two texts or in one; copies of a text are handled as a whole
+    two = "least_text < most_text or least_at < most_at"
+    often = marks.groupBy("h").agg(F.min("key.h").alias("least_text"), F.max("key.h").alias("most_text"), F.min("at").alias("least_at"), F.max("at").alias("most_at")).filter(two)
+    often = materialize(often.select("h"), "repeated-chunks")
     # sort-merge joins below: lists of chunks grow with the corpus, so they are no side to broadcast
     places = marks.join(often.hint("merge"), "h", "left_semi")
     first_piece = F.floor(F.greatest(F.col("at") - least_words, F.lit(0)) / PIECE).cast("int")
     spread = places.select("key", "at", F.explode(F.sequence(first_piece, F.floor(F.col("at") / PIECE).cast("int"))).alias("piece"))
     pieces = spread.groupBy("key", "piece").agg(F.collect_set("at").alias("marks"))  # no more than the units in a piece's reach
     lists = pieces.groupBy("key").agg(F.collect_list(F.struct("piece", "marks")).alias("pieces"))  # no more than the pieces of a text
-    marked = materialize(docs.select(key, row.alias("row")).join(lists.hint("merge"), "key", "left"), "marked")
+    packed = docs.select(key, row.alias("row"))
+    copies = copied_texts(packed.select("key", "row.text")).withColumn("copy", F.lit(True))
+    marked = packed.join(lists.hint("merge"), "key", "left").join(copies.hint("merge"), "key", "left")
+    marked = materialize(marked.select("key", "row", "copy", F.when(F.col("copy").isNull(), F.col("pieces")).alias("pieces")), "marked")
     touched = marked.filter("pieces is not null").withColumn("text", F.col("row.text"))
     gone = repeated_runs(touched.select("key", "text", "pieces"), least_words)
     runs = gone.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
@@ -175,5 +212,8 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     joined = touched.select("key", "row", "text").join(runs.hint("merge"), "key", "left")
     joined = joined.withColumn("clean", F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(split_units(F.col("text")), rest)))
     changed = joined.select("row", "clean", F.col("gone").isNotNull().alias("changed"))
-    same = marked.filter("pieces is null").select("row", F.col("row.text").alias("clean"), F.lit(False).alias("changed"))
-    return with_text(docs, same.unionByName(changed))
+    # all units of a copy of enough words are in runs that the first document has
+    enough = F.aggregate(bare_units(F.col("row.text")), F.lit(0), lambda n, u: n + F.least(words(u), F.lit(least_words))) >= least_words
+    whole = marked.filter("pieces is null").withColumn("changed", F.when(F.col("copy"), enough).otherwise(False))
+    whole = whole.select("row", F.when(F.col("changed"), "").otherwise(F.col("row.text")).alias("clean"), "changed")
+    return with_text(docs, whole.unionByName(changed))
