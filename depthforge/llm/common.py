@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from depthforge.functions.shipping import ship_package
 
 
+#: Bytes of an Arrow batch; Spark's own bound of 64 MB counts several times in an executor's memory, in the JVM and in each worker.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on Arrow batches to BATCH_BYTES; a longer row is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A folder of our own is set only where the session names none and runs on one machine, as in local tests.
     """
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="depthforge-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import alphanumeric, code_points, lowered
+from .common import bound_batches
 from .tokenize import text_slices
 from .workers import tidy
 
@@ -289,6 +290,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
     match nothing. Null texts have no leaks. Rows with null or repeated doc_ids count by
     themselves. Other columns of both tables are ignored. Empty tables give no rows.
     """
+    bound_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text").filter("text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // index_chars))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .codes import code_points, letters, lowered
+from .common import bound_batches
 from .tokenize import text_slices
 from .workers import tidy
 
@@ -170,6 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def identify_rows(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """As identify(), with all columns of ``docs``, whatever their names, in the struct ``row``."""
+    bound_batches(docs.sparkSession)
     packed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     schema = T.StructType([*packed.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])))])
     langs = np.array([*model.langs, "und"], dtype=object)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import code_points
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
 from .tokenize import text_slices
 from .workers import tidy
@@ -203,7 +203,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_slices(batch.column("text"), 2_000_000):
+            for a, b in text_slices(batch.column("text"), 1_000_000):
                 part = batch.slice(a, b - a)
                 grams, bounds = gram_sets(part.column("text").fill_null("").to_pylist(), words)
                 mins = min_hashes(grams, bounds)
@@ -213,6 +213,7 @@ def classes(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -
                 data = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(np.arange(0, (part.num_rows + 1) * width, width, dtype=np.int32)), pa.py_buffer(mins.astype("<u4").tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(np.diff(bounds)), pa.array(set_a), pa.array(set_b), data], names=["doc_id", "h", "grams", "set_a", "set_b", "mins"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(tidy(sign), f"doc_id {kind}, h bigint, grams bigint, set_a bigint, set_b bigint, mins binary")
 

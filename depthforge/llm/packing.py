@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .tokenize import default_tokenizer, encoder, text_slices
 from .workers import tidy
 
@@ -145,6 +145,7 @@ def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None
     """
     if capacity < 1:
         raise ValueError("capacity must be 1 or more")
+    bound_batches(docs.sparkSession)
     pieces = materialize(token_pieces(docs, capacity, tokenizer or default_tokenizer(), end_id), "pieces")
     counts = materialize(pieces.groupBy("length", "block").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

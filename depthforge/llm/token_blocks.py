@@ -24,7 +24,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, shuffle_partitions
+from .common import bound_batches, fresh_path, materialize, shuffle_partitions
 from .tokenize import default_tokenizer, encoder, text_slices
 
 MAGIC = b"PFRB"
@@ -206,6 +206,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
     A file is written under a name of its attempt and then renamed, so lost and speculative tasks leave whole files.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     path, tokenizer = path or fresh_path(spark, "token-blocks"), tokenizer or default_tokenizer()
     if path.startswith("file:"):
         pa.fs.LocalFileSystem().create_dir(pa.fs.FileSystem.from_uri(path)[1])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -13,13 +14,28 @@ import pyarrow.compute as pc
 SLICE_CHARS = 4_000_000
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether a tokenizer file drops white space before its merges, and no rule of it reads across white space.
+
+    Known to be so are files that fold runs of white space or lower the case, split by a pattern without white space, drop the rest and have
+    no special token with white space in it. Of any other file it is not known.
+    """
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    parts = lambda rule, key: [] if rule is None else rule[key] if rule["type"] == "Sequence" else [rule]
+    steps = parts(rules.get("normalizer"), "normalizers")
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in steps)
+    splits = parts(rules.get("pre_tokenizer"), "pretokenizers")
+    dropped = bool(splits) and splits[0]["type"] == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and "[^\\s" in splits[0]["pattern"].get("Regex", "")
+    return plain and dropped and not any(any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", []))
+
+
 class WordEncoder:
-    """Encodes texts by encoding each distinct word once.
+    """Encodes texts as the tokenizers library does; by encoding each distinct word once, if its file allows that.
 
-    The tokenizer file drops white space before its merges and no rule of it reads across
-    white space, so the ids of a text are the ids of its words, one after the other. Texts are
+    Where ``splits_at_blanks`` holds, the ids of a text are the ids of its words, one after the other. Texts are
     cut at blanks and line feeds only; any other white space stays inside a word and goes to
-    the tokenizer as it is. The cache of words is bounded by ``max_words`` and ``max_ids``;
+    the tokenizer as it is. With any other file whole texts are encoded. The cache of words is bounded by ``max_words`` and ``max_ids``;
     beyond that it starts anew, which changes the time and not the ids.
     """
 
@@ -28,7 +44,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        self.words = splits_at_blanks(path)
         self.max_words, self.max_ids = max_words, max_ids
         self._reset()
 
@@ -56,6 +72,10 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the bounds of each text (one more than texts)."""
+        if not self.words:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+            return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(bounds[-1])), bounds
         if len(self.slots) > self.max_words or self.used > self.max_ids:
             self._reset()
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")

@@ -281,11 +281,10 @@ def test_stage_removes_passages(spark):
 # --- tokens ---------------------------------------------------------------------------------------------
 
 
-def plain_ids(texts):
+def plain_ids(texts, path=None):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenize.default_tokenizer())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(path or tokenize.default_tokenizer())
     return [np.array([*e.ids, 1], dtype="<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
