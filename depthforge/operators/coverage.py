@@ -58,18 +58,6 @@ def thresholds(hist: DataFrame, cutoffs: tuple[int, ...] = (), by: tuple[str, ..
     return hist.groupBy(*by).agg(*each) if by else hist.agg(*each)
 
 
-def total_of(measure: str, name: str) -> Column:
-    """Sum of a measure over all bases, an aggregate over runs."""
-    return F.coalesce(F.sum(F.col(measure) * run_size()), F.lit(0)).cast("bigint").alias(name)
-
-
-def reached(measure: str, cutoffs: tuple[int, ...] = (), prefix: str = "") -> list[Column]:
-    """As ``thresholds``, but aggregates over runs, so that several measures share one pass."""
-    at = lambda t: F.col(measure) > 0 if t == 0 else F.col(measure) >= t
-    n = lambda t: F.coalesce(F.sum(F.when(at(t), run_size())), F.lit(0))
-    return [(n(t) / F.nullif(F.sum(run_size()), F.lit(0)) * 100).alias(f"{prefix}x{t}") for t in dict.fromkeys((*THRESHOLDS, *cutoffs))]
-
-
 def uniformity(hist: DataFrame, length: int | Column) -> DataFrame:
     """Percentages at or above 0.2 and 0.5 of the whole-number mean; thresholds are cut to whole numbers. No length: null."""
     n = F.lit(length) if isinstance(length, int) else length
@@ -116,16 +104,19 @@ def region_mean_histogram(regions: DataFrame) -> DataFrame:
     return regions.groupBy(F.floor("avg").cast("bigint").alias("value")).agg(F.count("*").alias("cnt"))
 
 
-def chrom_report(runs: DataFrame, contigs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(chrom, data_pct, mean, median, x0, ..., x100) of cov depth for each contig with targets; contigs without reads have zeros."""
-    hist = histogram(runs, "cov", ("chrom",))
+def chrom_report(runs: DataFrame, cutoffs: tuple[int, ...] = ()) -> DataFrame:
+    """(chrom, data_pct, mean, median, x0, ..., x100, cutoffs) of cov depth for each contig with targets; contigs without reads have zeros.
+
+    The sweep is read once: its histogram has a row for each contig and depth.
+    """
+    by = Window.partitionBy("chrom")
+    hist = histogram(runs, "cov", ("chrom",)).withColumn("upto", F.sum("cnt").over(by.orderBy("value"))).withColumn("n", F.sum("cnt").over(by))
     data = F.sum(F.col("value") * F.col("cnt"))
-    summary = hist.groupBy("chrom").agg(data.cast("bigint").alias("data"), (data / F.sum("cnt")).alias("mean"))
-    every = Window.partitionBy()
-    total = F.sum("data").over(every)  # a row for each contig
-    share = summary.select("chrom", F.coalesce(F.col("data") / F.nullif(total, F.lit(0)) * 100, F.lit(0.0)).alias("data_pct"), "mean")
-    out = share.join(rank_median(hist, ("chrom",)), "chrom").join(thresholds(hist, by=("chrom",)), "chrom")
-    return out.select("chrom", "data_pct", "mean", "median", *(f"x{t}" for t in THRESHOLDS))
+    median = F.when(F.max("n") > 1, F.min(F.when(F.col("upto") >= F.floor(F.col("n") / 2), F.col("value")))).otherwise(0)
+    shares = [_share(F.col("value") > 0 if t == 0 else F.col("value") >= t).alias(f"x{t}") for t in dict.fromkeys((*THRESHOLDS, *cutoffs))]
+    each = hist.groupBy("chrom").agg(data.cast("bigint").alias("data"), (data / F.sum("cnt")).alias("mean"), F.coalesce(median, F.lit(0)).cast("bigint").alias("median"), *shares)
+    total = F.sum("data").over(Window.partitionBy())  # a row for each contig
+    return each.withColumn("data_pct", F.coalesce(F.col("data") / F.nullif(total, F.lit(0)) * 100, F.lit(0.0))).select("chrom", "data_pct", "mean", "median", *each.columns[4:])
 
 
 def uncovered(runs: DataFrame, cutoff: int = 5) -> DataFrame:

@@ -24,26 +24,42 @@ def segments(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
     return rows.select("chrom", F.col("s.beg").alias("beg"), F.col("s.end").alias("end_"), base.cast("int").alias("raw"), (base & F.col("clean")).cast("int").alias("rmdup"), F.lit(1).alias("cov"))
 
 
-def depth_runs(reads: DataFrame, targets: DataFrame, min_mapq: int = 20, bits: int = BIN_BITS) -> DataFrame:
-    """Runs (chrom, beg, end_, lo, hi, raw, rmdup, cov) of equal depth in each merged target [beg, end_).
+def zone_runs(reads: DataFrame, targets: DataFrame, flanks: DataFrame | None = None, min_mapq: int = 20, bits: int = BIN_BITS) -> DataFrame:
+    """Runs (chrom, beg, end_, lo, hi, raw, rmdup, cov, on_target, on_flank) of equal depth in merged targets and merged flanks, in one sweep.
 
-    raw: aligned bases; rmdup: those of clean reads; cov: raw and deleted bases. Together the runs
-    of a target are the target; a run ends at the edge of a bin at the latest.
+    raw: aligned bases; rmdup: those of clean reads; cov: raw and deleted bases. ``beg`` and ``end_`` are those of
+    the target that a run lies in, null beside targets. Together the runs of an interval are the
+    interval; a run ends at the edge of a bin at the latest.
     """
-    zones = cut(targets.select("chrom", "beg", "end_", F.struct("beg", "end_").alias("region")), ["region"], bits)
-    pieces = cut(segments(reads, min_mapq), MEASURES, bits)
-    wanted = pieces.join(zones.select("chrom", "bin").distinct(), ["chrom", "bin"], "left_semi")
-    none = F.lit(None).cast(zones.schema["region"].dataType)
-    n = lambda sign: [(sign * F.col(m)).cast("bigint").alias(m) for m in MEASURES]
-    read_events = wanted.select("chrom", "bin", F.explode(F.array(F.struct(F.col("lo").alias("p"), *n(1)), F.struct(F.col("hi").alias("p"), *n(-1)))).alias("e"))
-    zero = [F.lit(0).cast("bigint").alias(m) for m in MEASURES]
-    zone_events = zones.select("chrom", "bin", F.explode(F.array(F.struct(F.col("lo").alias("p"), F.col("region").alias("r"), F.lit(1).alias("edge")), F.struct(F.col("hi").alias("p"), none.alias("r"), F.lit(-1).alias("edge")))).alias("e"))
-    events = read_events.groupBy("chrom", "bin", F.col("e.p").alias("p")).agg(*(F.sum(f"e.{m}").alias(m) for m in MEASURES)).select("chrom", "bin", "p", *MEASURES, none.alias("r"), F.lit(0).alias("edge"))
-    events = events.unionByName(zone_events.select("chrom", "bin", "e.p", *zero, F.col("e.r").alias("r"), F.col("e.edge").alias("edge")))
-    order = Window.partitionBy("chrom", "bin").orderBy("p", "edge")
-    to_here = order.rowsBetween(Window.unboundedPreceding, 0)
-    runs = events.select("chrom", F.col("p").alias("lo"), F.lead("p").over(order).alias("hi"), F.last("r", ignorenulls=True).over(to_here).alias("r"), F.sum("edge").over(to_here).alias("inside"), *(F.sum(m).over(to_here).alias(m) for m in MEASURES))
-    return runs.filter("hi > lo and inside > 0").select("chrom", F.col("r.beg").alias("beg"), F.col("r.end_").alias("end_"), "lo", "hi", *MEASURES)
+    number = lambda v: F.lit(v).cast("bigint")
+    ends = lambda *of: F.explode(F.array(*(F.struct(F.col(at).alias("p"), *rest) for at, rest in zip(("lo", "hi"), of, strict=True))))
+    none = F.lit(None).cast("int")
+    names = [*MEASURES, "on_target", "on_flank", "beg", "end_"]
+    depths = lambda sign: [(sign * F.col(m)).cast("bigint").alias(m) for m in MEASURES]
+    still = [number(0).alias(m) for m in MEASURES]
+    beside = [number(0).alias("on_target"), number(0).alias("on_flank"), none.alias("beg"), none.alias("end_")]
+    zone = cut(targets.select("chrom", "beg", "end_", F.col("beg").cast("int").alias("first"), F.col("end_").cast("int").alias("last")), ["first", "last"], bits)
+    enter = [*still, number(1).alias("on_target"), number(0).alias("on_flank"), F.col("first").alias("beg"), F.col("last").alias("end_")]
+    leave = [*still, number(-1).alias("on_target"), number(0).alias("on_flank"), none.alias("beg"), none.alias("end_")]
+    marks = zone.select("chrom", "bin", ends(enter, leave).alias("e"))
+    if flanks is not None:
+        edge = lambda n: [*still, number(0).alias("on_target"), number(n).alias("on_flank"), none.alias("beg"), none.alias("end_")]
+        marks = marks.unionByName(cut(flanks, [], bits).select("chrom", "bin", ends(edge(1), edge(-1)).alias("e")))
+    events = cut(segments(reads, min_mapq), MEASURES, bits).select("chrom", "bin", ends([*depths(1), *beside], [*depths(-1), *beside]).alias("e"))
+    # events of one place are summed before the shuffle, so a bin has no more rows than bases, however deep it is
+    places = events.unionByName(marks).groupBy("chrom", "bin", F.col("e.p").alias("p")).agg(*((F.max if c in ("beg", "end_") else F.sum)(f"e.{c}").alias(c) for c in names))
+    wanted = marks.select("chrom", "bin").distinct()
+    order = Window.partitionBy("chrom", "bin").orderBy("p")
+    sums = [F.sum(c).over(order).alias(c) for c in names[:5]]
+    runs = places.join(wanted, ["chrom", "bin"], "left_semi").select("chrom", F.col("p").alias("lo"), F.lead("p").over(order).alias("hi"), *(F.last(c, ignorenulls=True).over(order).alias(c) for c in ("beg", "end_")), *sums)
+    inside = F.col("on_target") > 0
+    edges = [F.when(inside, F.col(c)).alias(c) for c in ("beg", "end_")]
+    return runs.filter((F.col("hi") > F.col("lo")) & (inside | (F.col("on_flank") > 0))).select("chrom", *edges, "lo", "hi", *MEASURES, inside.alias("on_target"), (F.col("on_flank") > 0).alias("on_flank"))
+
+
+def depth_runs(reads: DataFrame, targets: DataFrame, min_mapq: int = 20, bits: int = BIN_BITS) -> DataFrame:
+    """Runs (chrom, beg, end_, lo, hi, raw, rmdup, cov) of equal depth in each merged target, as in ``zone_runs``."""
+    return zone_runs(reads, targets, None, min_mapq, bits).drop("on_target", "on_flank")
 
 
 def per_base(runs: DataFrame) -> DataFrame:

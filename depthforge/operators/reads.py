@@ -14,8 +14,12 @@ from .intervals import BIN_BITS
 
 
 def depth_eligible(reads: DataFrame) -> DataFrame:
-    """Primary, placed and mapped reads; reads that failed QC stay in."""
-    return reads.filter(primary() & F.col("chrom").isNotNull() & ~has(UNMAP))
+    """Primary, placed reads that are not of class unmapped; reads that failed QC stay in, mapped or not."""
+    return reads.filter(eligible())
+
+
+def eligible() -> Column:
+    return primary() & F.col("chrom").isNotNull() & (read_class() != -3)
 
 
 def is_clean(min_mapq: int = 20) -> Column:
@@ -23,22 +27,36 @@ def is_clean(min_mapq: int = 20) -> Column:
     return (read_class() != 2) & (F.col("mapq") >= min_mapq)
 
 
-def flagstat(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
-    """All flag counters in one pass and one row."""
+def counters(min_mapq: int = 20) -> dict[str, tuple[Column, Column | None]]:
+    """Condition of each flag counter, and what it sums (none: it counts reads)."""
     ok = ~has(QCFAIL)
     pair = ok & has(PAIRED)
     mapped = ok & ~has(UNMAP)
     both = pair & ~has(UNMAP) & ~has(MUNMAP)
     placed = F.col("chrom").isNotNull() & read_class().isin(0, 1)
-    n = lambda c, name: F.count_if(c).alias(name)
-    total = lambda c, name: F.coalesce(F.sum(F.when(c, F.col("l_qseq").cast("bigint"))), F.lit(0)).cast("bigint").alias(name)
-    every = F.lit(True)
-    return reads.filter(primary()).agg(
-        n(every, "n_reads"), total(every, "n_data"), n(has(QCFAIL), "n_qcfail"), n(pair, "n_pair_all"), n(pair & has(PROPER) & ~has(UNMAP), "n_pair_good"),
-        n(pair & has(READ1), "n_read1"), n(pair & has(READ2), "n_read2"), n(pair & has(MUNMAP) & ~has(UNMAP), "n_sgltn"), n(both, "n_pair_map"),
-        n(both & ~F.col("mchrom").eqNullSafe(F.col("chrom")), "n_diffchr"), n(mapped, "n_mapped"), total(mapped, "n_mdata"), n(mapped & has(REVERSE), "n_mstrand"),
-        n(mapped & ~has(REVERSE), "n_pstrand"), n(mapped & has(DUP), "n_dup"), n(F.col("mapq") >= min_mapq, "n_qual"), n(placed & has(READ1), "n_rmdup1"), n(placed & has(READ2), "n_rmdup2"),
-    )
+    bases, every = F.col("l_qseq").cast("bigint"), F.lit(True)
+    return {
+        "n_reads": (every, None), "n_data": (every, bases), "n_qcfail": (has(QCFAIL), None), "n_pair_all": (pair, None), "n_pair_good": (pair & has(PROPER) & ~has(UNMAP), None),
+        "n_read1": (pair & has(READ1), None), "n_read2": (pair & has(READ2), None), "n_sgltn": (pair & has(MUNMAP) & ~has(UNMAP), None), "n_pair_map": (both, None),
+        "n_diffchr": (both & ~F.col("mchrom").eqNullSafe(F.col("chrom")), None), "n_mapped": (mapped, None), "n_mdata": (mapped, bases), "n_mstrand": (mapped & has(REVERSE), None),
+        "n_pstrand": (mapped & ~has(REVERSE), None), "n_dup": (mapped & has(DUP), None), "n_qual": (F.col("mapq") >= min_mapq, None), "n_rmdup1": (placed & has(READ1), None), "n_rmdup2": (placed & has(READ2), None),
+    }
+
+
+def _counted(min_mapq: int) -> list[Column]:
+    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("bigint")
+    return [(F.count_if(c) if v is None else total(c, v)).alias(name) for name, (c, v) in counters(min_mapq).items()]
+
+
+def flagstat(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
+    """All flag counters in one pass and one row."""
+    return reads.filter(primary()).agg(*_counted(min_mapq))
+
+
+def counters_by_size(reads: DataFrame, min_mapq: int = 20, limit: int = 2000) -> DataFrame:
+    """Flag counters and the insert sizes in one pass: (size, cnt, counters), a row for each insert size; reads without one are under 0."""
+    size = F.when(eligible() & (F.col("isize") > 0) & (F.col("isize") < limit), F.col("isize")).otherwise(0)
+    return reads.filter(primary()).groupBy(size.alias("size")).agg(F.count("*").alias("cnt"), *_counted(min_mapq))
 
 
 #: Fractions of the report: name, counter above, counter below.
@@ -61,25 +79,26 @@ def with_span(reads: DataFrame) -> DataFrame:
     return reads.withColumn("span_end", F.greatest(reference_end(F.col("pos"), F.col("cigar")), F.col("pos") + 1))
 
 
-def longest_span(reads: DataFrame) -> int:
-    """Bases of the longest reference span."""
-    return with_span(reads).agg(F.coalesce(F.max(F.col("span_end") - F.col("pos")), F.lit(1))).first()[0]
-
-
-def overlapping(reads: DataFrame, targets: DataFrame, how: str = "left_semi", bits: int = BIN_BITS, longest: int | None = None) -> DataFrame:
+def overlapping(reads: DataFrame, targets: DataFrame, how: str = "left_semi", bits: int = BIN_BITS) -> DataFrame:
     """Reads whose reference span overlaps a target (``left_semi``) or none (``left_anti``).
 
-    A read stays one row with the bin of its start; targets are laid out over all bins in which a
-    read that reaches them can start, so the join is an equality on (chrom, bin) and a range.
-    ``longest``: result of ``longest_span``, for callers that join the same reads more than once.
+    A read of a usual span, no longer than a bin, stays one row with the bin of its start; targets
+    lie in their own bins and in the one before, so the join is an equality on (chrom, bin) and a range.
+    The few longer reads have a row for each bin they touch, and are put together again. How targets
+    are laid out does not depend on the reads, so one long gap in a read costs that read alone.
     """
-    spans = with_span(reads)
-    longest = longest_span(reads) if longest is None else longest
-    keyed = spans.withColumn("bin", F.shiftright("pos", bits))
-    first = F.shiftright(F.greatest(F.col("beg") - longest, F.lit(0)), bits)
-    laid = targets.filter("end_ > beg").select("chrom", "beg", "end_", F.explode(F.sequence(first, F.shiftright(F.col("end_") - 1, bits))).alias("bin"))
-    near = (keyed["chrom"] == laid["chrom"]) & (keyed["bin"] == laid["bin"]) & (keyed["pos"] < laid["end_"]) & (laid["beg"] < keyed["span_end"])
-    return keyed.join(laid, near, how).drop("bin", "span_end")
+    if how not in ("left_semi", "left_anti"):
+        raise ValueError("how is left_semi or left_anti")
+    spans, wide = with_span(reads), 1 << bits
+    long = F.col("span_end") - F.col("pos") > wide
+    lay = lambda ahead: targets.filter("end_ > beg").select("chrom", "beg", "end_", F.explode(F.sequence(F.shiftright(F.greatest(F.col("beg") - ahead, F.lit(0)), bits), F.shiftright(F.col("end_") - 1, bits))).alias("bin"))
+    near = lambda a, b: (a["chrom"] == b["chrom"]) & (a["bin"] == b["bin"]) & (a["pos"] < b["end_"]) & (b["beg"] < a["span_end"])
+    usual, zones = spans.filter(~long).withColumn("bin", F.shiftright("pos", bits)), lay(wide)
+    found = usual.join(zones, near(usual, zones), how).select(*reads.columns)
+    far = spans.filter(long).select(F.struct(*reads.columns).alias("read"), F.monotonically_increasing_id().alias("id"), "chrom", "pos", "span_end")
+    far, zones = far.withColumn("bin", F.explode(F.sequence(F.shiftright("pos", bits), F.shiftright(F.col("span_end") - 1, bits)))), lay(0)
+    each = far.join(zones, near(far, zones), "left").groupBy(far["id"]).agg(F.any_value(far["read"]).alias("read"), F.max(zones["beg"].isNotNull()).alias("hit"))
+    return found.unionByName(each.filter(F.col("hit") == (how == "left_semi")).select("read.*"))
 
 
 def fetch_region(reads: DataFrame, chrom: str, beg: int, end: int) -> DataFrame:

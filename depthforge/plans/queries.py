@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import bins, cigar, flags, tags
 from ..operators import coverage, depth, intervals, reads as reads_ops
-from ..sources.fixtures import CONTIG_LENGTH, OTHER_ROWS, READS_COLUMNS, TARGET_COLUMNS, TARGET_ROWS, load_contigs, load_reads, load_targets
-from .report import Options, coverage_report, flank_set
+from ..sources.fixtures import CONTIG_LENGTH, OTHER_COLUMNS, READS_COLUMNS, TARGET_COLUMNS, load_contigs, load_reads, load_targets
+from .report import Options, coverage_report, flank_set, report_lines
 
 FLANK, UNCOVER, LIMIT = 200, 5, 2000
 RATIOS, CUTOFFS = (0.2, 0.5, 0.4, 1.0), (20, 50)
@@ -35,9 +35,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- SQL parts ---------------------------------------------------------------------------------
 
-R = f"r AS (SELECT {', '.join(READS_COLUMNS)} FROM lineitem), p AS (SELECT *, pos+m1+d+n+m2 AS span_end FROM r WHERE (flag & 2304) = 0), e AS (SELECT * FROM p WHERE (flag & 4) = 0)"
-T = f"t AS (SELECT {', '.join(TARGET_COLUMNS)} FROM part WHERE {TARGET_ROWS})"
-O = f"o AS (SELECT {', '.join(TARGET_COLUMNS)} FROM part WHERE {OTHER_ROWS})"
+R = f"r AS (SELECT {', '.join(READS_COLUMNS)} FROM lineitem), p AS (SELECT *, pos+m1+d+n+m2 AS span_end FROM r WHERE (flag & 2304) = 0), e AS (SELECT * FROM p WHERE (flag & 512) <> 0 OR (flag & 4) = 0)"
+T = f"t AS (SELECT {', '.join(TARGET_COLUMNS)} FROM part)"
+O = f"o AS (SELECT {', '.join(OTHER_COLUMNS)} FROM part)"
 
 
 def merged(source: str, name: str) -> str:
@@ -212,13 +212,13 @@ def interval_flank(spark, sf_dir):
 
 @query(f"WITH {M}, {O}, {merged('o', 'n')} SELECT m.chrom, greatest(m.beg, n.beg) AS beg, least(m.end_, n.end_) AS end_ FROM m JOIN n ON m.chrom = n.chrom AND m.beg < n.end_ AND n.beg < m.end_")
 def interval_intersect(spark, sf_dir):
-    return intervals.intersect(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_ROWS))
+    return intervals.intersect(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_COLUMNS))
 
 
 @query(f"""WITH {M}, {O}, a AS (SELECT chrom, unnest(range(beg, end_)) AS q FROM m), b AS (SELECT DISTINCT chrom, unnest(range(beg, end_)) AS q FROM o),
 k AS (SELECT chrom, q, q - row_number() OVER (PARTITION BY chrom ORDER BY q) AS g FROM a ANTI JOIN b USING (chrom, q)) SELECT chrom, CAST(min(q) AS INT) AS beg, CAST(max(q)+1 AS INT) AS end_ FROM k GROUP BY chrom, g""")
 def interval_subtract(spark, sf_dir):
-    return intervals.subtract(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_ROWS))
+    return intervals.subtract(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_COLUMNS))
 
 
 @query(f"WITH {M}, k AS (SELECT chrom, CASE WHEN end_-beg > 50 THEN beg+30 ELSE beg END AS beg, CASE WHEN end_-beg > 50 THEN end_-20 ELSE end_ END AS end_ FROM m), {merged('k', 'q')} SELECT chrom, beg, end_ FROM q")
@@ -235,7 +235,7 @@ def interval_base_shift(spark, sf_dir):
 
 @query(f"WITH {M}, {O} SELECT chrom, beg, end_ FROM t UNION ALL SELECT chrom, beg, end_ FROM o")
 def interval_concat(spark, sf_dir):
-    return intervals.concat(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_ROWS))
+    return intervals.concat(load_targets(spark, sf_dir), load_targets(spark, sf_dir, OTHER_COLUMNS))
 
 
 @query(f"WITH {M} SELECT (SELECT count(*) FROM t) AS raw_regions, CAST((SELECT sum(end_-beg) FROM t) AS BIGINT) AS raw_bases, count(*) AS regions, CAST(sum(end_-beg) AS BIGINT) AS bases, (SELECT count(*) FROM t) - count(*) AS merged_away FROM m")
@@ -319,7 +319,7 @@ w AS (SELECT *, sum(cnt) OVER (PARTITION BY chrom ORDER BY value) AS u, sum(cnt)
 SELECT chrom, coalesce(sum(value*cnt) / nullif((SELECT sum(value*cnt) FROM h), 0) * 100, 0) AS data_pct, sum(value*cnt) / sum(cnt) AS mean,
  CAST(CASE WHEN max(n) > 1 THEN min(value) FILTER (u >= n // 2) ELSE 0 END AS BIGINT) AS median, {shares(coverage.THRESHOLDS)} FROM w GROUP BY chrom""")
 def chrom_report(spark, sf_dir):
-    return coverage.chrom_report(runs(spark, sf_dir), load_contigs(spark), load_targets(spark, sf_dir))
+    return coverage.chrom_report(runs(spark, sf_dir))
 
 
 @query(f"{FDEP}, {HIST.format(m='raw')} SELECT CAST(sum(cnt) AS BIGINT) AS length, CAST(sum(value*cnt) AS BIGINT) AS data, {shares(coverage.THRESHOLDS)} FROM h")
@@ -335,26 +335,33 @@ def uncover_runs(spark, sf_dir):
     return coverage.uncovered(runs(spark, sf_dir), UNCOVER)
 
 
+REPORT = Options(cutoffs=CUTOFFS, ratios=RATIOS)
+
+
 def _report_sql() -> str:
     """The report from parts that are counted base by base."""
-    counters = "n_reads n_data n_qcfail n_pair_all n_pair_good n_read1 n_read2 n_sgltn n_pair_map n_diffchr n_mapped n_mdata n_mstrand n_pstrand n_dup n_qual n_rmdup1 n_rmdup2".split()
+    names = "n_reads n_data n_qcfail n_pair_all n_pair_good n_read1 n_read2 n_sgltn n_pair_map n_diffchr n_mapped n_mdata n_mstrand n_pstrand n_dup n_qual n_rmdup1 n_rmdup2".split()
     fdep = bases("f", "fdep").split("z AS", 1)[1]
-    cuts = coverage.THRESHOLDS
-    keys = [(c, f"(SELECT {c} FROM c)") for c in counters]
-    keys += [("target_reads", f"(SELECT count(*) FROM e WHERE {_near('m')})"), ("flank_reads", f"(SELECT count(*) FROM e WHERE {_near('f')})")]
-    keys += [("target_data", "(SELECT sum(cov) FROM dep)"), ("target_length", "(SELECT count(*) FROM dep)"), ("rmdup_data", "(SELECT sum(rmdup) FROM dep)"), ("flank_data", "(SELECT sum(raw) FROM fdep)"), ("flank_length", "(SELECT count(*) FROM fdep)")]
-    share = lambda table, m, t: f"(SELECT count(*) FILTER ({m} {'>' if t == 0 else '>='} {t}) / count(*) * 100 FROM {table})"
-    keys += [(f"x{t}", share("dep", "cov", t)) for t in cuts] + [(f"flank_x{t}", share("fdep", "raw", t)) for t in cuts] + [(f"rmdup_x{t}", share("dep", "rmdup", t)) for t in cuts]
-    keys += [("isize_mean", "(SELECT sum(value*cnt) / sum(cnt) FROM h)"), ("isize_median", RANK_MEDIAN.format(h="h")), ("regions", "(SELECT count(*) FROM m)")]
-    keys += [("target_mean", "(SELECT sum(cov) / count(*) FROM dep)"), ("rmdup_mean", "(SELECT sum(rmdup) / count(*) FROM dep)"), ("flank_mean", "(SELECT sum(raw) / count(*) FROM fdep)")]
-    rows = " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS ord, '{k}' AS key, CAST({v} AS DOUBLE) AS value" for i, (k, v) in enumerate(keys))
     fz = fdep.replace("FROM z LEFT", "FROM fz LEFT").replace("z.", "fz.")
-    return f"WITH {R}, {FL}, {bases('m')}, fz AS{fz}, c AS ({FLAGSTAT_SQL}), h AS (SELECT isize AS value, count(*) AS cnt FROM e WHERE isize > 0 AND isize < {LIMIT} GROUP BY 1) {rows}"
+    cuts = (*coverage.THRESHOLDS, *CUTOFFS)
+    raw = [(c, f"(SELECT {c} FROM c)") for c in names]
+    raw += [("target_reads", f"(SELECT count(*) FROM e WHERE {_near('m')})"), ("flank_reads", f"(SELECT count(*) FROM e WHERE {_near('f')})")]
+    raw += [("target_data", "(SELECT sum(cov) FROM dep)"), ("target_length", "(SELECT count(*) FROM dep)"), ("rmdup_data", "(SELECT sum(rmdup) FROM dep)"), ("flank_data", "(SELECT sum(raw) FROM fdep)"), ("flank_length", "(SELECT count(*) FROM fdep)")]
+    share = lambda table, m, t: f"(SELECT count(*) FILTER ({m} {'>' if t == 0 else '>='} {t}) / count(*) * 100 FROM {table})"
+    raw += [(f"{p}x{t}", share(table, m, t)) for p, table, m in (("", "dep", "cov"), ("rmdup_", "dep", "rmdup"), ("flank_", "fdep", "raw")) for t in cuts]
+    raw += [(f"u{int(r * 100):03d}", f"(SELECT count(*) FILTER (cov >= floor((SELECT sum(cov) // count(*) FROM dep) * {r})) / count(*) * 100 FROM dep)") for r in (0.2, 0.5)]
+    most = lambda i: "greatest(" + ", ".join(f"floor(CAST({r} AS DOUBLE) * (SELECT avg(cov) FROM dep))" for r in RATIOS[: i + 1]) + ")"
+    raw += [(f"ratio{i}", f"(SELECT count(*) FILTER (cov > {most(i)}) / count(*) * 100 FROM dep)") for i in range(len(RATIOS))]
+    raw += [("regions", "(SELECT count(*) FROM m)"), *((f"regions_x{t}", f"(SELECT count(*) FROM g WHERE value {'>' if t == 0 else '>='} {t})") for t in cuts)]
+    raw += [("isize_mean", "(SELECT sum(value*cnt) / sum(cnt) FROM h)"), ("isize_median", RANK_MEDIAN.format(h="h"))]
+    rows = " UNION ALL ".join(f"SELECT CAST({i} AS INT) AS ord, '{x.title}' AS key, CAST({x.value} AS DOUBLE) AS value FROM k" for i, x in enumerate(report_lines(REPORT)))
+    parts = f"g AS (SELECT floor(avg(raw)) AS value FROM dep GROUP BY chrom, beg, end_), k AS (SELECT {', '.join(f'{v} AS {n}' for n, v in raw)})"
+    return f"WITH {R}, {FL}, {bases('m')}, fz AS{fz}, c AS ({FLAGSTAT_SQL}), h AS (SELECT isize AS value, count(*) AS cnt FROM e WHERE isize > 0 AND isize < {LIMIT} GROUP BY 1), {parts} {rows}"
 
 
 @query(_report_sql())
 def coverage_report_query(spark, sf_dir):
-    return coverage_report(load_reads(spark, sf_dir), load_targets(spark, sf_dir), load_contigs(spark))
+    return coverage_report(load_reads(spark, sf_dir), load_targets(spark, sf_dir), load_contigs(spark), REPORT)
 
 
 for table in (QUERIES, ORACLE_SQL):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import coverage, depth, intervals, reads as reads_ops
@@ -38,32 +38,148 @@ def flank_set(targets: DataFrame, contigs: DataFrame, options: Options) -> DataF
     return intervals.subtract(wide, targets) if options.flank_minus_target else wide
 
 
-def coverage_report(reads: DataFrame, targets: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
-    """(ord, key, value) of the whole report; every value is a double."""
-    merged = intervals.merge(targets)
-    flanks = flank_set(targets, contigs, options)
-    runs = depth.depth_runs(reads, merged, options.min_mapq)
-    flank_runs = depth.depth_runs(reads, flanks, options.min_mapq)
+@dataclass(frozen=True)
+class Line:
+    """A line of the report: its title, its place in JSON (names divided by /), its value in terms of ``raw_numbers`` (SQL), and its form (d, f or p)."""
+
+    title: str
+    path: str
+    value: str
+    form: str
+
+
+def report_lines(o: Options) -> list[Line]:
+    """All lines of the report in their order; titles and places are fixed values of the report's format."""
+    share = lambda a, b: f"{a} / nullif({b}, 0) * 100"
+    mb = lambda c: f"{c} / 1e6"
+    mean = lambda a, b: f"{a} / nullif({b}, 0)"
+    cuts = tuple(dict.fromkeys((*coverage.THRESHOLDS, *o.cutoffs)))
+    named = lambda t: "gt_0x" if t == 0 else f"ge_{t}x"
+
+    def reached(title: str, path: str, prefix: str) -> list[Line]:
+        return [Line(f"{title} ({'>' if t == 0 else '>='}{t}x)", f"{path}/{named(t)}", f"{prefix}x{t}", "p") for t in cuts]
+
+    def covered(t: int) -> Line:
+        words = "> 0x" if t == 0 else f">= {t}x" if t in coverage.THRESHOLDS else f"(>={t}x)"
+        return Line(f"[Target] Fraction Region covered {words}", f"target/regions_fraction/{named(t)}", share(f"regions_x{t}", "regions"), "p")
+
+    return [
+        Line("[Total] Raw Reads (All reads)", "reads/total", "n_reads", "d"),
+        Line("[Total] QC Fail reads", "reads/qc_fail", "n_qcfail", "d"),
+        Line("[Total] Raw Data(Mb)", "reads/raw_data_mb", mb("n_data"), "f"),
+        Line("[Total] Paired Reads", "reads/paired", "n_pair_all", "d"),
+        Line("[Total] Mapped Reads", "reads/mapped", "n_mapped", "d"),
+        Line("[Total] Fraction of Mapped Reads", "reads/mapped_pct", share("n_mapped", "n_reads"), "p"),
+        Line("[Total] Mapped Data(Mb)", "reads/mapped_data_mb", mb("n_mdata"), "f"),
+        Line("[Total] Fraction of Mapped Data(Mb)", "reads/mapped_data_pct", share("n_mdata", "n_data"), "p"),
+        Line("[Total] Properly paired", "reads/properly_paired", "n_pair_good", "d"),
+        Line("[Total] Fraction of Properly paired", "reads/properly_paired_pct", share("n_pair_good", "n_reads"), "p"),
+        Line("[Total] Read and mate paired", "reads/read_mate_paired", "n_pair_map", "d"),
+        Line("[Total] Fraction of Read and mate paired", "reads/read_mate_paired_pct", share("n_pair_map", "n_reads"), "p"),
+        Line("[Total] Singletons", "reads/singletons", "n_sgltn", "d"),
+        Line("[Total] Read and mate map to diff chr", "reads/diff_chr", "n_diffchr", "d"),
+        Line("[Total] Read1", "reads/read1", "n_read1", "d"),
+        Line("[Total] Read2", "reads/read2", "n_read2", "d"),
+        Line("[Total] Read1(rmdup)", "reads/read1_rmdup", "n_rmdup1", "d"),
+        Line("[Total] Read2(rmdup)", "reads/read2_rmdup", "n_rmdup2", "d"),
+        Line("[Total] forward strand reads", "reads/forward_strand", "n_pstrand", "d"),
+        Line("[Total] backward strand reads", "reads/backward_strand", "n_mstrand", "d"),
+        Line("[Total] PCR duplicate reads", "reads/pcr_duplicate", "n_dup", "d"),
+        Line("[Total] Fraction of PCR duplicate reads", "reads/pcr_duplicate_pct", share("n_dup", "n_mapped"), "p"),
+        Line("[Total] Map quality cutoff value", "reads/mapq_cutoff", str(o.min_mapq), "d"),
+        Line("[Total] MapQuality above cutoff reads", "reads/mapq_above_cutoff", "n_qual", "d"),
+        Line("[Total] Fraction of MapQ reads in all reads", "reads/mapq_above_cutoff_in_all_pct", share("n_qual", "n_reads"), "p"),
+        Line("[Total] Fraction of MapQ reads in mapped reads", "reads/mapq_above_cutoff_in_mapped_pct", share("n_qual", "n_mapped"), "p"),
+        Line("[Insert size] Average", "insert_size/average", "isize_mean", "f"),
+        Line("[Insert size] Median", "insert_size/median", "isize_median", "d"),
+        Line("[Target] Target Reads", "target/reads", "target_reads", "d"),
+        Line("[Target] Fraction of Target Reads in all reads", "target/reads_in_all_pct", share("target_reads", "n_reads"), "p"),
+        Line("[Target] Fraction of Target Reads in mapped reads", "target/reads_in_mapped_pct", share("target_reads", "n_mapped"), "p"),
+        Line("[Target] Target Data(Mb)", "target/data_mb", mb("target_data"), "f"),
+        Line("[Target] Target Data Rmdup(Mb)", "target/data_rmdup_mb", mb("rmdup_data"), "f"),
+        Line("[Target] Fraction of Target Data in all data", "target/data_in_all_pct", share("target_data", "n_data"), "p"),
+        Line("[Target] Fraction of Target Data in mapped data", "target/data_in_mapped_pct", share("target_data", "n_mdata"), "p"),
+        Line("[Target] Len of region", "target/region_len", "target_length", "d"),
+        Line("[Target] Average depth", "target/avg_depth", mean("target_data", "target_length"), "f"),
+        Line("[Target] Average depth(rmdup)", "target/avg_depth_rmdup", mean("rmdup_data", "target_length"), "f"),
+        Line("[Target] Coverage (>0.2*(Average depth)x)", "target/coverage/gt_02x_avg", "u020", "p"),
+        Line("[Target] Coverage (>0.5*(Average depth)x)", "target/coverage/gt_05x_avg", "u050", "p"),
+        *reached("[Target] Coverage", "target/coverage", ""),
+        *reached("[Target] Coverage(rmdup)", "target/coverage_rmdup", "rmdup_"),
+        *(Line(f"[Target] Coverage (>{r:.2f}*Avg)", f"target/coverage_ratio/gt_{r:.2f}_avg", f"ratio{i}", "p") for i, r in enumerate(o.ratios)),
+        Line("[Target] Target Region Count", "target/region_count", "regions", "d"),
+        Line("[Target] Region covered > 0x", "target/regions_covered_gt_0x", "regions_x0", "d"),
+        *(covered(t) for t in cuts),
+        Line("[flank] flank size", "flank/size", str(o.flank), "d"),
+        Line("[flank] Len of region (not include target region)", "flank/region_len", "flank_length", "d"),
+        Line("[flank] Average depth", "flank/avg_depth", mean("flank_data", "flank_length"), "f"),
+        Line("[flank] flank Reads", "flank/reads", "flank_reads", "d"),
+        Line("[flank] Fraction of flank Reads in all reads", "flank/reads_in_all_pct", share("flank_reads", "n_reads"), "p"),
+        Line("[flank] Fraction of flank Reads in mapped reads", "flank/reads_in_mapped_pct", share("flank_reads", "n_mapped"), "p"),
+        Line("[flank] flank Data(Mb)", "flank/data_mb", mb("flank_data"), "f"),
+        Line("[flank] Fraction of flank Data in all data", "flank/data_in_all_pct", share("flank_data", "n_data"), "p"),
+        Line("[flank] Fraction of flank Data in mapped data", "flank/data_in_mapped_pct", share("flank_data", "n_mdata"), "p"),
+        *reached("[flank] Coverage", "flank/coverage", "flank_"),
+    ]
+
+
+#: Measures whose histograms a report holds: depth with deletions, depth of clean reads, and aligned bases around the targets.
+COV, RMDUP, FLANK = 0, 1, 2
+
+
+def depth_histograms(runs: DataFrame) -> DataFrame:
+    """(kind, value, cnt) of COV and RMDUP on targets and of FLANK, from one reading of ``zone_runs``."""
+    one = lambda on, kind, m: F.when(F.col(on), F.struct(F.lit(kind).alias("kind"), F.col(m).alias("value")))
+    kinds = F.array_compact(F.array(one("on_target", COV, "cov"), one("on_target", RMDUP, "rmdup"), one("on_flank", FLANK, "raw")))
+    return runs.select(F.explode(kinds).alias("k"), coverage.run_size().alias("size")).groupBy("k.kind", "k.value").agg(F.sum("size").cast("bigint").alias("cnt"))
+
+
+def raw_numbers(reads: DataFrame, targets: DataFrame, contigs: DataFrame, options: Options) -> DataFrame:
+    """One row of all numbers that ``report_lines`` refer to: one sweep, one pass for flags and insert sizes, and two joins of reads with zones."""
+    merged, flanks = intervals.merge(targets), flank_set(targets, contigs, options)
+    runs = depth.zone_runs(reads, merged, flanks, options.min_mapq)
     eligible = reads_ops.depth_eligible(reads)
-    longest = reads_ops.longest_span(eligible)
-    isize = reads_ops.insert_sizes(reads, options.isize_limit)
-    length = F.coalesce(F.sum(coverage.run_size()), F.lit(0)).cast("bigint")
-    # each sweep is read once: all sums and shares of its measures are one aggregate
-    on_target = runs.agg(coverage.total_of("cov", "target_data"), length.alias("target_length"), coverage.total_of("rmdup", "rmdup_data"), *coverage.reached("cov", options.cutoffs), *coverage.reached("rmdup", prefix="rmdup_"))
-    on_flank = flank_runs.agg(coverage.total_of("raw", "flank_data"), length.alias("flank_length"), *coverage.reached("raw", prefix="flank_"))
-    one = reads_ops.flagstat(reads, options.min_mapq)
-    counters = one.columns
+    cuts = tuple(dict.fromkeys((*coverage.THRESHOLDS, *options.cutoffs)))
+
+    by_size = reads_ops.counters_by_size(reads, options.min_mapq, options.isize_limit)
+    flags = by_size.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in by_size.columns[2:]))
+    sizes = by_size.filter("size > 0").select(F.col("size").alias("value"), "cnt")
+
+    # a row for each depth; the mean and the thresholds that hang on it come from windows over these
+    of_kind = Window.partitionBy("kind")
+    hist = depth_histograms(runs).withColumn("data", F.sum(F.col("value") * F.col("cnt")).over(of_kind)).withColumn("n", F.sum("cnt").over(of_kind))
+    whole, mean = F.floor(F.col("data") / F.col("n")), F.col("data") / F.col("n")
+    is_kind = lambda k: F.col("kind") == k
+    total = lambda k, v, name: F.coalesce(F.sum(F.when(is_kind(k), v)), F.lit(0)).cast("bigint").alias(name)
+
+    def share(k: int, c, name: str):
+        return (F.coalesce(F.sum(F.when(is_kind(k) & c, F.col("cnt"))), F.lit(0)) / F.nullif(F.sum(F.when(is_kind(k), F.col("cnt"))), F.lit(0)) * 100).alias(name)
+
+    at = lambda t: F.col("value") > 0 if t == 0 else F.col("value") >= t
+    bases = F.col("value") * F.col("cnt")
+    # a ratio's threshold is never below that of a ratio before it
+    upto = lambda i: F.greatest(*(F.floor(r * mean) for r in options.ratios[: i + 1])) if i else F.floor(options.ratios[0] * mean)
+    depths = hist.agg(
+        total(COV, bases, "target_data"), total(COV, F.col("cnt"), "target_length"), total(RMDUP, bases, "rmdup_data"), total(FLANK, bases, "flank_data"), total(FLANK, F.col("cnt"), "flank_length"),
+        *(share(k, at(t), f"{prefix}x{t}") for k, prefix in ((COV, ""), (RMDUP, "rmdup_"), (FLANK, "flank_")) for t in cuts),
+        *(share(COV, F.col("value") >= F.floor(whole * r), f"u{int(r * 100):03d}") for r in (0.2, 0.5)),
+        *(share(COV, F.col("value") > upto(i), f"ratio{i}") for i in range(len(options.ratios))),
+    )
+
+    average = F.floor(F.sum(F.col("raw") * coverage.run_size()) / F.sum(coverage.run_size()))
+    regions = runs.filter("on_target").groupBy("chrom", "beg", "end_").agg(average.alias("value"))
+    regions = regions.agg(F.count("*").alias("regions"), *(F.count_if(at(t)).alias(f"regions_x{t}") for t in cuts))
+
     parts = [
-        reads_ops.overlapping(eligible, merged, longest=longest).agg(F.count("*").alias("target_reads")),
-        reads_ops.overlapping(eligible, flanks, longest=longest).agg(F.count("*").alias("flank_reads")),
-        on_target, on_flank, coverage.mean_of(isize).toDF("isize_mean"), coverage.rank_median(isize).toDF("isize_median"),
-        merged.agg(F.count("*").alias("regions")),
+        depths, regions, coverage.mean_of(sizes).toDF("isize_mean"), coverage.rank_median(sizes).toDF("isize_median"),
+        reads_ops.overlapping(eligible, merged).agg(F.count("*").alias("target_reads")), reads_ops.overlapping(eligible, flanks).agg(F.count("*").alias("flank_reads")),
     ]
     for part in parts:
-        one = one.crossJoin(F.broadcast(part))  # one row each
-    shares = [c for c in on_target.columns if c[0] == "x"] + [c for c in on_flank.columns if c.startswith("flank_x")] + [c for c in on_target.columns if c.startswith("rmdup_x")]
-    one = one.select(*counters, "target_reads", "flank_reads", "target_data", "target_length", "rmdup_data", "flank_data", "flank_length", *shares, "isize_mean", "isize_median", "regions")
-    one = one.withColumn("target_mean", F.col("target_data") / F.nullif(F.col("target_length"), F.lit(0))).withColumn("rmdup_mean", F.col("rmdup_data") / F.nullif(F.col("target_length"), F.lit(0))).withColumn("flank_mean", F.col("flank_data") / F.nullif(F.col("flank_length"), F.lit(0)))
-    names = one.columns
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for i, c in enumerate(names)))
-    return one.select(F.explode(rows).alias("r")).select("r.ord", "r.key", "r.value")
+        flags = flags.crossJoin(F.broadcast(part))  # one row each
+    return flags
+
+
+def coverage_report(reads: DataFrame, targets: DataFrame, contigs: DataFrame, options: Options = Options()) -> DataFrame:
+    """(ord, key, value) of all lines of the report; every value is a double, null where there is nothing to divide by."""
+    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(x.title).alias("key"), F.expr(x.value).cast("double").alias("value")) for i, x in enumerate(report_lines(options))))
+    return raw_numbers(reads, targets, contigs, options).select(F.explode(rows).alias("r")).select("r.ord", "r.key", "r.value")

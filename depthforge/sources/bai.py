@@ -238,8 +238,32 @@ def _block(f, at: int) -> tuple[bytes, int]:
     return body, at + size
 
 
+def header_text(uri: str) -> str:
+    """Header text of a file, from as many of its first blocks as it takes."""
+    import pyarrow.fs
+
+    fs, at = pyarrow.fs.FileSystem.from_uri(_uri(uri))
+    with fs.open_input_file(at) as f:
+        return _head(f)[0]
+
+
+def has_end(uri: str) -> bool:
+    """Whether a file ends with the block that marks its end; without it, the file may be cut off."""
+    import pyarrow.fs
+
+    fs, at = pyarrow.fs.FileSystem.from_uri(_uri(uri))
+    with fs.open_input_file(at) as f:
+        size, n = f.size(), len(bgzf.EOF_BLOCK)
+        return size >= n and f.read_at(n, size - n) == bgzf.EOF_BLOCK
+
+
 def _dictionary(f) -> tuple[list[tuple[str, int]], int]:
-    """Contigs of an open file, from as many of its first blocks as it takes, and the virtual offset of its first record."""
+    """Contigs of an open file and the virtual offset of its first record."""
+    return _head(f)[1:]
+
+
+def _head(f) -> tuple[str, list[tuple[str, int]], int]:
+    """Header text and contigs of an open file, from as many of its first blocks as it takes, and the virtual offset of its first record."""
     data, at, places = b"", 0, []
     while True:
         body, after = _block(f, at)
@@ -247,16 +271,16 @@ def _dictionary(f) -> tuple[list[tuple[str, int]], int]:
             places.append((len(data), at))
         data += body
         try:
-            _, contigs, first = bam.read_dictionary(data)
+            text, contigs, first = bam.read_dictionary(data)
         except (struct.error, IndexError, UnicodeDecodeError):
             if after == at:
                 raise
         else:
             if first < len(data):
                 start, block = next(p for p in reversed(places) if p[0] <= first)
-                return contigs, block << 16 | first - start
+                return text, contigs, block << 16 | first - start
             if len(data) == first:
-                return contigs, after << 16
+                return text, contigs, after << 16
         at = after
 
 

@@ -83,44 +83,24 @@ def records(data: bytes, contigs: list[tuple[str, int]], at: int) -> Iterator[di
 
 
 def read_bam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of binary files, a task for each file; give a large sample as several files. The union of files needs no order."""
-    ship_package(spark)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    arrow = to_arrow_schema(StructType.fromDDL(SCHEMA))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                data = b"".join(body for _, body in bgzf.blocks(row["content"]))
-                _, contigs, at = read_dictionary(data)
-                held = []
-                for r in records(data, contigs, at):
-                    held.append({"file_idx": row["path"], **r})
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
+    """Alignments of binary files of any size; files with an index beside them are read in splits. The union of files needs no order."""
+    from .bai import read_bam_splits
 
-    return files.mapInArrow(parse, SCHEMA)
+    return read_bam_splits(spark, path)
 
 
 def read_bam_header(spark: SparkSession, path: str) -> DataFrame:
-    """Header lines (type, tags, text) of a binary file, read from its first blocks."""
+    """Header lines (type, tags, text, line) of a binary file, read from its first blocks."""
     ship_package(spark)
-    from ..functions.tags import parse_header
+    from .bai import header_text
+    from .text import header_lines
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                text = read_dictionary(b"".join(body for _, body in bgzf.blocks(row["content"])))[0]
-                yield pa.RecordBatch.from_pydict({"value": text.splitlines() or [""]})
+            for file in batch.column("path").to_pylist():
+                yield pa.RecordBatch.from_pydict({"value": header_text(file).splitlines() or [""]})
 
-    lines = spark.read.format("binaryFile").load(path).select("content").mapInArrow(texts, "value string")
-    return lines.select(parse_header(F.col("value")).alias("h")).filter("h is not null").select("h.*")
+    return header_lines(spark.read.format("binaryFile").load(path).select("path").mapInArrow(texts, "value string"))
 
 
 def encode_record(r: dict) -> bytes:

@@ -20,7 +20,8 @@ CASE WHEN l_linenumber=6 THEN 50 ELSE 0 END AS n
 'chr' || CAST((CASE WHEN l_orderkey%60=2 THEN l_suppkey+1 ELSE l_suppkey END) % 5 AS STRING) AS mchrom
 CAST(CASE WHEN l_linenumber=7 THEN 0 WHEN l_linenumber%2=1 THEN l_orderkey%2500 ELSE -(l_orderkey%2500) END AS INT) AS isize""".split("\n")
 TARGET_COLUMNS = ["'chr' || CAST(p_partkey % 7 AS STRING) AS chrom", "CAST((p_partkey*613)%19000 AS INT) AS beg", "CAST((p_partkey*613)%19000 + 20 + p_size*2 AS INT) AS end_"]
-TARGET_ROWS, OTHER_ROWS = "p_partkey%10<3 AND p_partkey<5000", "p_partkey%10=5 AND p_partkey<5000"
+#: A second set of intervals of the same rows.
+OTHER_COLUMNS = ["'chr' || CAST(p_partkey % 6 AS STRING) AS chrom", "CAST((p_partkey*1009 + 77)%19500 AS INT) AS beg", "CAST((p_partkey*1009 + 77)%19500 + 10 + p_size AS INT) AS end_"]
 CONTIG_LENGTH = 25_000
 
 
@@ -41,8 +42,8 @@ def load_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cigar", cigar).drop("m1", "d", "n", "m2")
 
 
-def load_targets(spark: SparkSession, sf_dir: str, rows: str = TARGET_ROWS) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").filter(rows).selectExpr(*TARGET_COLUMNS)
+def load_targets(spark: SparkSession, sf_dir: str, columns: list[str] = TARGET_COLUMNS) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(*columns)
 
 
 def load_contigs(spark: SparkSession) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cigar import parse_cigar
-from ..functions.flags import UNMAP, parse_flag
+from ..functions.cigar import parse_cigar, query_length
+from ..functions.flags import FLAG_LETTERS, UNMAP, parse_flag
 from ..functions.tags import parse_header, parse_tags
 
 
@@ -29,9 +29,49 @@ def read_bed(spark: SparkSession, path: str | list[str], one_based: bool = False
     return rows.select("chrom", F.greatest(F.col("beg") - left, F.lit(0)).alias("beg"), (F.col("end_") + right).alias("end_"))
 
 
-def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Alignments of SAM text. A record without CIGAR becomes unmapped; positions become 0-based; ``*`` is null."""
+def sam_problem(line: Column) -> Column:
+    """What is wrong with a SAM line, null if nothing: the first that holds of the checks below."""
+    f = F.split(line, "\t")
+    col = lambda i: F.get(f, i)
+    number = lambda i: col(i).rlike(r"^-?[0-9]+$")
+    tags = F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0)))
+    value = lambda t: F.substring(t, F.lit(6), F.length(t))
+    kind = lambda t: F.substring(t, 4, 1)
+    some = lambda test: F.exists(tags, test)
+    with_cigar = col(5) != "*"
+    return (
+        F.when(F.size(f) < 11, "too few fields")
+        .when(~col(1).rlike(rf"^(0[xX][0-9a-fA-F]+|[0-9]+|[{FLAG_LETTERS}]*)$"), "invalid flag")
+        .when(~(number(3) & number(4) & number(7) & number(8)), "invalid number")
+        .when(with_cigar & ~col(5).rlike(r"^[0-9MIDNSHP=XB]+$"), "invalid CIGAR operation")
+        .when(with_cigar & ~col(5).rlike(r"^([0-9]+[MIDNSHP=XB])+$"), "unmatched CIGAR operation")
+        .when(with_cigar & (col(9) != "*") & (query_length(parse_cigar(col(5))) != F.length(col(9))), "CIGAR and sequence length are inconsistent")
+        .when((col(9) != "*") & (col(10) != "*") & (F.length(col(9)) != F.length(col(10))), "sequence and quality are inconsistent")
+        .when(some(lambda t: (F.length(t) < 5) | (F.substring(t, 3, 1) != ":") | (F.substring(t, 5, 1) != ":")), "missing colon in auxiliary data")
+        .when(some(lambda t: ~kind(t).isin(*"AaCcSsIifdZHB")), "unrecognized type")
+        .when(some(lambda t: kind(t).isin(*"CcSsIi") & ~value(t).rlike(r"^[+-]?[0-9]+$")), "invalid integer")
+        .when(some(lambda t: (kind(t) == "H") & (F.length(value(t)) % 2 == 1)), "length of the hex string not even")
+        .when(some(lambda t: (kind(t) == "H") & ~value(t).rlike("^[0-9A-Fa-f]*$")), "invalid hex character")
+        .when(some(lambda t: (kind(t) == "B") & ~value(t).rlike("^[cCsSiIf](,|$)")), "unrecognized array type")
+    )
+
+
+def invalid_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line, problem) of the records of SAM text that break the format."""
     lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != ""))
+    return lines.select(F.col("value").alias("line"), sam_problem(F.col("value")).alias("problem")).filter("problem is not null")
+
+
+def read_sam(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """Alignments of SAM text. A record without CIGAR becomes unmapped; positions become 0-based; ``*`` is null.
+
+    ``strict``: a record that breaks the format raises when the plan runs; otherwise its bad fields are null.
+    ``file_idx`` is the file of a record.
+    """
+    lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != "")).select("value", F.input_file_name().alias("file_idx"))
+    if strict:
+        wrong = sam_problem(F.col("value"))
+        lines = lines.withColumn("value", F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.col("value"))).cast("string")).otherwise(F.col("value")))
     f = F.split("value", "\t")
     col = lambda i: F.get(f, i)
     star = lambda c: F.nullif(c, F.lit("*"))
@@ -39,15 +79,20 @@ def read_sam(spark: SparkSession, path: str | list[str]) -> DataFrame:
     flag = parse_flag(col(1))
     mate = F.when(col(6) == "=", star(col(2))).otherwise(star(col(6)))
     return lines.select(
-        col(0).alias("qname"), F.when(F.size(cigar) == 0, flag.bitwiseOR(F.lit(UNMAP))).otherwise(flag).alias("flag"), star(col(2)).alias("chrom"), (col(3).try_cast("int") - 1).alias("pos"), col(4).try_cast("int").alias("mapq"),
+        "file_idx", col(0).alias("qname"), F.when(F.size(cigar) == 0, flag.bitwiseOR(F.lit(UNMAP))).otherwise(flag).alias("flag"), star(col(2)).alias("chrom"), (col(3).try_cast("int") - 1).alias("pos"), col(4).try_cast("int").alias("mapq"),
         cigar.alias("cigar"), mate.alias("mchrom"), (col(7).try_cast("int") - 1).alias("mpos"), col(8).try_cast("int").alias("isize"), F.length(F.coalesce(star(col(9)), F.lit(""))).alias("l_qseq"),
         col(9).alias("seq"), col(10).alias("qual"), parse_tags(F.slice(f, F.lit(12), F.greatest(F.size(f) - 11, F.lit(0)))).alias("aux"),
     )
 
 
+def header_lines(lines: DataFrame) -> DataFrame:
+    """Header lines (type, tags, text, line) of ``lines`` (value); ``line`` is the line as it is."""
+    return lines.select(parse_header(F.col("value")).alias("h"), F.col("value").alias("line")).filter("h is not null").select("h.*", "line")
+
+
 def read_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Header lines (type, tags, text) of SAM text."""
-    return spark.read.text(path).filter(F.col("value").startswith("@")).select(parse_header(F.col("value")).alias("h")).filter("h is not null").select("h.*")
+    """Header lines (type, tags, text, line) of SAM text."""
+    return header_lines(spark.read.text(path).filter(F.col("value").startswith("@")))
 
 
 def header_table(header: DataFrame, kind: str, *tags: str) -> DataFrame:
@@ -65,7 +110,10 @@ HEADER_KEYS = {"HD": "VN", "SQ": "SN", "RG": "ID", "PG": "ID"}
 
 
 def merge_headers(*headers: DataFrame) -> DataFrame:
-    """Lines of all headers, those of one name joined: (type, name, tags, conflict). ``conflict``: 0 one source or equal, 1 tags were added, 2 a tag differs (the first header's stays)."""
+    """Lines of all headers, those of one name joined: (type, name, tags, conflict). ``conflict``: 0 one source or equal, 1 tags were added, 2 a tag differs (the first header's stays).
+
+    Comments stay, equal ones once, under their text as the name and without tags.
+    """
     every = reduce(DataFrame.unionByName, (h.filter("type <> 'CO'").withColumn("src", F.lit(i)) for i, h in enumerate(headers)))
     name = F.coalesce(*(F.when(F.col("type") == k, F.col("tags")[t]) for k, t in HEADER_KEYS.items()))
     tags = every.select("type", name.alias("name"), "src", F.explode("tags").alias("tag", "value"))
@@ -73,7 +121,9 @@ def merge_headers(*headers: DataFrame) -> DataFrame:
     sources = tags.groupBy("type", "name").agg(F.count_distinct("src").alias("all_srcs"))
     joined = each.join(sources, ["type", "name"])
     kind = F.max(F.when(F.col("kinds") > 1, 2).when(F.col("srcs") < F.col("all_srcs"), 1).otherwise(0))
-    return joined.groupBy("type", "name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "value")))).alias("tags"), kind.alias("conflict"))
+    named = joined.groupBy("type", "name").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tag", "value")))).alias("tags"), kind.alias("conflict"))
+    comments = reduce(DataFrame.unionByName, (h.filter("type = 'CO'").select("type", F.col("text").alias("name")) for h in headers)).distinct()
+    return named.unionByName(comments.select("type", "name", F.lit(None).cast("map<string,string>").alias("tags"), F.lit(0).alias("conflict")))
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import csv
 import gzip
+import io
 import json
 
 import pytest
 
 from depthforge.__main__ import main
 from depthforge.functions.back_steps import remove_back_steps, unwind
-from depthforge.sources import bam
+from depthforge.sources import bam, bgzf
 
-SAM = """@SQ\tSN:chrA\tLN:1000
+SAM = """@HD\tVN:1.6\tSO:coordinate
+@SQ\tSN:chrA\tLN:1000
 @SQ\tSN:chrB\tLN:500
+@RG\tID:g\tSM:s
 r1\t99\tchrA\t6\t60\t10M\t=\t151\t150\tACGTACGTAC\t*
 r2\t0\tchrA\t13\t60\t4M2D6M\t*\t0\t0\tACGTACGTAC\t*
 r3\t0\tchrA\t300\t60\t10M\t*\t0\t0\tACGTACGTAC\t*
@@ -26,25 +29,51 @@ def lines(folder, opener=open):
     return [r for part in sorted(folder.glob("part-*")) for r in opener(part, "rt").read().splitlines()]
 
 
-@pytest.mark.parametrize("form", ["txt", "json"])
+def give(monkeypatch, data):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(data)))
+
+
+@pytest.mark.parametrize("form", ["txt", "csv", "json"])
 def test_report(spark, tmp_path, form):
     (tmp_path / "a.sam").write_text(SAM)
     (tmp_path / "t.bed").write_text(BED)
     out = tmp_path / "out"
-    main(["report", "-o", str(out), "-p", str(tmp_path / "t.bed"), "-f", "5", "-F", form, "--uncover", "1", "--depthratio", "0.5", "--bamout", str(tmp_path / "on.bam"), str(tmp_path / "a.sam")], spark)
+    main(["report", "-o", str(out), "-p", str(tmp_path / "t.bed"), "-f", "5", "-F", form, "--uncover", "1", "--depthratio", "0.5", "--cutoffdepth", "2", "--bamout", str(tmp_path / "on.bam"), str(tmp_path / "a.sam")], spark)
     depth = {(r["#Chr"], int(r["Pos"])): int(r["Cover depth"]) for r in csv.DictReader(lines(out / "depth.tsv.gz", gzip.open), delimiter="\t") if r["#Chr"] != "#Chr"}
     want = {("chrA", p): (p <= 15) + (13 <= p <= 24) for p in range(11, 31)} | {("chrB", p): int(p <= 5) for p in range(1, 11)}
     assert depth == want
     assert sorted(lines(out / "uncover.bed")) == ["chrA\t24\t30", "chrB\t5\t10"]
     if form == "json":
-        assert json.loads(lines(out / "report.json")[0])["report"]["target_reads"] == 3
+        made = json.loads((out / "report.json").read_text())
+        assert made["target"]["reads"] == 3 and [x["name"] for x in made["chromosomes"]] == ["chrA", "chrB"] and "cov_2x" in made["chromosomes"][0]
+        assert made["depth_distribution"][0] == {"depth": 0, "count": 11, "fraction": 0.366667, "cumulative_count": 19, "cumulative_fraction": 0.633333}
+        assert len(made["insert_size_distribution"]) == 151 and made["insert_size"] == {"average": 150, "median": 0}
+    elif form == "csv":
+        assert "[Target] Target Reads,3" in (out / "coverage.csv").read_text().splitlines()
+        assert (out / "chromosomes.csv").read_text().splitlines()[0] == "Chromosome,DATA(%),Avg depth,Median,Coverage%,Cov 4x %,Cov 10x %,Cov 30x %,Cov 100x %,Cov 2x %"
+        assert (out / "depth_distribution.csv").read_text().splitlines()[:2] == ["depth,count,fraction,cumulative_count,cumulative_fraction", "0,11,0.366667,19,0.633333"]
     else:
-        assert "target_reads\t3.00" in "\n".join(lines(out / "coverage.report"))
+        assert "[Target] Target Reads".rjust(60) + "\t3" in (out / "coverage.report").read_text().splitlines()
+        assert (out / "chromosomes.report").read_text().splitlines()[2].split() == ["chrB", "22.73", "0.50", "0.0", "50.00", "0.00", "0.00", "0.00", "0.00", "0.00"]
+        assert (out / "depth_distribution.plot").read_text().splitlines()[0] == "0\t11\t0.366667\t19\t0.633333"
     kept = bam.read_bam(spark, str(tmp_path / "on.bam"))
     assert sorted((r["qname"], r["chrom"], r["pos"]) for r in kept.collect()) == [("r1", "chrA", 5), ("r2", "chrA", 12), ("r4", "chrB", 0)]
+    assert [r["line"] for r in bam.read_bam_header(spark, str(next((tmp_path / "on.bam").glob("part-*.bam")))).collect()] == SAM.splitlines()[:4]
+
+
+def test_report_of_standard_input(spark, tmp_path, monkeypatch, capsys):
+    """Binary alignments, with and without the block that ends a file, and text."""
+    (tmp_path / "t.bed").write_text(BED)
+    record = {"qname": "r", "tid": 0, "pos": 12, "mapq": 60, "cigar": [{"op": "M", "len": 5}], "flag": 0, "mtid": -1, "mpos": -1, "isize": 0, "seq": "ACGTA", "qual": "*", "aux": {}}
+    whole = bam.encode_file("@SQ\tSN:chrA\tLN:1000\n@SQ\tSN:chrB\tLN:500\n", [("chrA", 1000), ("chrB", 500)], [record] * 4)
+    for k, (data, warned) in enumerate([(whole, False), (whole[: -len(bgzf.EOF_BLOCK)], True), (SAM.encode(), False), (gzip.compress(SAM.encode()), False)]):
+        give(monkeypatch, data)
+        main(["report", "-o", str(tmp_path / f"o{k}"), "-p", str(tmp_path / "t.bed"), "-F", "csv"], spark)
+        assert "[Total] Raw Reads (All reads),4" in (tmp_path / f"o{k}" / "coverage.csv").read_text().splitlines()
+        assert ("cut off" in capsys.readouterr().err) == warned
 
 
-def test_toolkit(spark, tmp_path, capsys):
+def test_toolkit(spark, tmp_path, capsys, monkeypatch):
     (tmp_path / "a.bed").write_text(BED)
     (tmp_path / "b.bed").write_text("chrA\t12\t14\n")
     a, b = str(tmp_path / "a.bed"), str(tmp_path / "b.bed")
@@ -52,6 +81,9 @@ def test_toolkit(spark, tmp_path, capsys):
         main([*args, "-o", str(tmp_path / f"o{k}")], spark)
         assert set(lines(tmp_path / f"o{k}")) == want
     assert "'regions': 1" in capsys.readouterr().out
+    give(monkeypatch, b"chrA\t12\t14\n")
+    main(["diff", a, "-"], spark)
+    assert capsys.readouterr().out.splitlines() == ["chrA\t10\t12", "chrA\t14\t30", "chrB\t0\t10"]
 
 
 def test_unwind():

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import depthforge
 from depthforge.functions import bins, cigar, flags, tags
 from depthforge.operators import coverage, depth, intervals, reads as reads_ops
-from depthforge.plans.report import Options, coverage_report, flank_set
+from depthforge.plans.report import Options, coverage_report, flank_set, report_lines
 from depthforge.sources import bam, bgzf, sinks, text
 from depthforge.streaming import fold
 
@@ -71,14 +73,48 @@ def test_golden_depth(golden):
 
 
 def test_golden_report(golden, tmp_path):
-    report = coverage_report(*golden, Options(flank=5, uncover=2))
+    options = Options(flank=5, uncover=2, cutoffs=(2,), ratios=(0.5, 0.25))
+    report, lines = coverage_report(*golden, options), report_lines(options)
     values = {r["key"]: r["value"] for r in report.collect()}
-    assert values["target_data"] == 49 and values["flank_data"] == 60 and values["regions"] == 6
-    assert '"n_reads": 9.0' in sinks.report_json(report)
-    assert sinks.report_text(report).count() == len(values)
+    assert [values[x.title] for x in lines if x.path in ("target/region_len", "target/region_count", "target/reads", "flank/reads", "flank/region_len", "target/regions_covered_gt_0x")] == [6, 65, 6, 1, 120, 6]
+    assert values["[Target] Target Data(Mb)"] == 49e-6 and values["[flank] flank Data(Mb)"] == 60e-6
+    assert values["[Target] Coverage (>=2x)"] == 14 / 65 * 100 and values["[Target] Coverage(rmdup) (>0x)"] == 27 / 65 * 100
+    # the mean depth is 49 / 65, so all thresholds that hang on it are 0
+    assert values["[Target] Coverage (>0.2*(Average depth)x)"] == 100 and values["[Target] Coverage (>0.50*Avg)"] == values["[Target] Coverage (>0.25*Avg)"] == 32 / 65 * 100
+    got = [r["value"] for r in sinks.report_text(report, lines, "txt", ("a.bam",)).collect()]
+    assert got[:3] == ["## The file was created by depthforge", f"## Version : {depthforge.__version__}", "## Files : a.bam"]
+    assert got[3] == "[Total] Raw Reads (All reads)".rjust(60) + "\t9" and "[Total] Fraction of Mapped Reads".rjust(60) + "\t66.67%" in got and "[Insert size] Average".rjust(60) + "\t150.00" in got
+    csv = [r["value"] for r in sinks.report_text(report, lines, "csv").collect()]
+    assert len(csv) == len(lines) + 3 and "[Target] Average depth,0.75" in csv
+    made = json.loads(sinks.report_json(report, lines, ("a.bam",)))
+    assert made["reads"]["total"] == 9 and made["target"]["coverage"]["ge_2x"] == 21.54 and made["target"]["coverage_ratio"] == {"gt_0.50_avg": 49.23, "gt_0.25_avg": 49.23} and made["flank"]["region_len"] == 120
+    empty = coverage_report(golden[0].limit(0), *golden[1:], Options())
+    assert "[Total] Fraction of Mapped Reads,N/A" in [r["value"] for r in sinks.report_text(empty, report_lines(Options()), "csv").collect()]
     sinks.write_table(sinks.region_lines(coverage.region_stats(depth.depth_runs(golden[0], golden[1].limit(0)))), str(tmp_path / "r"))
 
 
+def test_failed_and_unmapped(golden, spark):
+    """A placed read that failed QC counts on targets, on flanks and in the insert sizes, mapped or not."""
+    schema = "qname string, chrom string, pos int, flag int, mapq int, cg string, isize int, l_qseq int"
+    rows_ = spark.createDataFrame([("a", "chrA", 15, 512 + 4, 60, "10M", 77, 10), ("b", "chrA", 15, 4, 60, "10M", 78, 10), ("c", None, -1, 512 + 4, 60, "*", 79, 10)], schema)
+    reads = rows_.withColumn("cigar", cigar.parse_cigar(F.col("cg"))).withColumn("mchrom", F.col("chrom"))
+    assert rows(reads_ops.depth_eligible(reads), "qname") == [("a",)] and hist(reads_ops.insert_sizes(reads)) == {77: 1}
+    assert rows(reads_ops.overlapping(reads_ops.depth_eligible(reads), intervals.merge(golden[1])), "qname") == [("a",)]
+    assert {r["size"]: r["cnt"] for r in reads_ops.counters_by_size(reads).collect()} == {0: 2, 77: 1}
+
+
+def test_long_spans(spark):
+    """Reads with gaps longer than a bin, against brute force; repeated rows stay as many as they are."""
+    rng = random.Random(3)
+    spans = [(rng.randrange(0, 3000), rng.choice([0, 0, 40, 200, 1500])) for _ in range(200)] * 2
+    reads = spark.createDataFrame([("c", p, f"5M{n}N5M" if n else "10M") for p, n in spans], "chrom string, pos int, cg string").withColumn("cigar", cigar.parse_cigar(F.col("cg")))
+    zones = [(b, b + rng.randrange(1, 30)) for b in rng.sample(range(0, 5000, 40), 25)]
+    near = lambda p, n: any(p < e and b < p + 10 + n for b, e in zones)
+    for how, keep in (("left_semi", True), ("left_anti", False)):
+        got = reads_ops.overlapping(reads, iv(spark, [("c", b, e) for b, e in zones]), how, bits=6)
+        assert got.columns == reads.columns and sorted(r["pos"] for r in got.collect()) == sorted(p for p, n in spans if near(p, n) == keep)
+
+
 def test_intervals_by_brute_force(spark):
     rng = random.Random(4)
     make = lambda: [(rng.choice("xy"), b := rng.randrange(40_000), b + rng.randrange(0, 900)) for _ in range(60)]
@@ -164,7 +200,16 @@ def test_text_sources(spark, tmp_path):
     assert rows(text.header_contigs(head)) == [("chrA", 1000)] and head.filter("type = 'CO'").first()["text"] == "x\ty"
     assert rows(reads, "qname", "flag", "pos", "l_qseq") == [("q1", 99, 5, 10), ("q2", 4, -1, 0)]
     assert reads.filter("qname = 'q1'").select(sinks.sam_line("hex")).first()[0] == "q1\t0x63\tchrA\t6\t60\t10M\t=\t50\t150\tACGTACGTAC\tIIIIIIIIII\tNM:i:3"
-    assert {(r["name"], r["conflict"]) for r in text.merge_headers(head, head).collect()} == {("1.4", 0), ("chrA", 0)}
+    assert {(r["name"], r["conflict"]) for r in text.merge_headers(head, head).collect()} == {("1.4", 0), ("chrA", 0), ("x\ty", 0)}
+    assert [r["line"] for r in head.collect()] == sam.read_text().splitlines()[:3]
+    assert text.invalid_sam(spark, str(sam)).count() == 0 and text.read_sam(spark, str(sam), strict=True).count() == 2
+    good = "q 0 c 6 60 10M * 0 0 ACGTACGTAC IIIIIIIIII".split()
+    change = {"too few fields": (10, None), "invalid flag": (1, "9x"), "invalid number": (3, "x"), "invalid CIGAR operation": (5, "10Q"), "unmatched CIGAR operation": (5, "10M3"), "CIGAR and sequence length are inconsistent": (5, "9M"), "sequence and quality are inconsistent": (10, "I"), "missing colon in auxiliary data": (11, "NM3"), "unrecognized type": (11, "NM:q:3"), "invalid integer": (11, "NM:i:x"), "length of the hex string not even": (11, "XH:H:1AE"), "invalid hex character": (11, "XH:H:1G"), "unrecognized array type": (11, "ZB:B:x,1")}
+    broken = tmp_path / "b.sam"
+    broken.write_text("\n".join("\t".join([x for x in [*good[:i], value, *good[i + 1 :]] if x is not None]) for i, value in change.values()) + "\n")
+    assert [r["problem"] for r in text.invalid_sam(spark, str(broken)).collect()] == list(change)
+    with pytest.raises(Exception, match="too few fields"):
+        text.read_sam(spark, str(broken), strict=True).select("qname").collect()
     fa = tmp_path / "t.fa"
     fa.write_text(">a x\nACNN\nNNGT\nNN\n>b\nACGT\n")
     assert rows(text.n_runs(text.read_fasta(spark, str(fa)))) == [("a", 2, 6), ("a", 8, 10)]
