@@ -23,10 +23,13 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import bound_batches, fresh_path, materialize, shuffle_partitions
 from .tokenize import default_tokenizer, encoder, text_slices
 
+#: Bytes of text in a file, about; smaller inputs have as many files as shuffle partitions.
+FILE_BYTES = 32 << 20
 MAGIC = b"PFRB"
 BLOCK = 256
 PERCENTILE = 90
@@ -198,7 +201,7 @@ class BlockFileReader:
 def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
     """Encode whole texts and write their ids, each document ended by ``end_id``, in doc_id order.
 
-    Writes a file for each range of doc_ids below ``path`` (by default in the shared folder) and
+    doc_id must be an integer. Writes a file for each range of doc_ids below ``path`` (by default in the shared folder) and
     returns the manifest, a row for each file: shard, uri, n_docs, n_ids, first_id (ids in the
     files before it). Files in the order of shards hold the documents in ascending doc_id order,
     null doc_ids first; rows with the same doc_id come in the order of their texts' hashes. Null and
@@ -235,8 +238,12 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
             n_docs, n_ids = out.close()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "uri": [uri], "n_docs": [n_docs], "n_ids": [n_ids]})
 
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id must be an integer")
     tie = F.xxhash64("text")
-    ranged = docs.select("doc_id", "text").repartitionByRange(shuffle_partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    files = max(shuffle_partitions(spark), -(-size // FILE_BYTES))
+    ranged = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     files = materialize(ranged.mapInArrow(write, "shard long, uri string, n_docs long, n_ids long"), "manifest")
     rows, first = [], 0
     for r in sorted(files.collect()):  # a row for each file
@@ -260,5 +267,5 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, doc_type: str = "
                     yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[a:b], mask=file.doc_null[a:b]), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     start += int(ends[-1])
 
-    files = manifest.select("uri", "first_id").repartition(shuffle_partitions(spark))
+    files = manifest.select("uri", "first_id").repartition(max(1, manifest.count()))  # a row for each file, and a task
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumn("doc_id", F.col("doc_id").cast(doc_type))
