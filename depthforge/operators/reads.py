@@ -137,14 +137,23 @@ def unsorted_reads(reads: DataFrame, file: str = "file_idx", record: str = "rec_
 
     Records are compared inside blocks of record numbers, and each block's first with the last of the block before.
     """
+    seen = _with_previous(reads, file, record, block)
+    return seen.filter((F.col("chrom") == F.col("before.chrom")) & (F.col("pos") < F.col("before.pos"))).select(*reads.columns)
+
+
+def split_contigs(reads: DataFrame, file: str = "file_idx", record: str = "rec_idx", block: int = 1 << 20) -> DataFrame:
+    """(file, chrom, stretches) of contigs whose records lie in more than one stretch of a file, so that the file is not sorted. Unplaced records are left out."""
+    seen = _with_previous(reads, file, record, block).filter(F.col("chrom").isNotNull() & ~F.col("chrom").eqNullSafe(F.col("before.chrom")))
+    return seen.groupBy(file, "chrom").agg(F.count("*").alias("stretches")).filter("stretches > 1")
+
+
+def _with_previous(reads: DataFrame, file: str, record: str, block: int) -> DataFrame:
+    """``reads`` with ``before``, chrom and pos of the record before."""
     part = reads.withColumn("block", F.floor(F.col(record) / block))
     inner = Window.partitionBy(file, "block").orderBy(record)
-    seen = part.withColumn("prev_chrom", F.lag("chrom").over(inner)).withColumn("prev_pos", F.lag("pos").over(inner)).withColumn("first", F.row_number().over(inner) == 1)
+    seen = part.withColumn("inside", F.lag(F.struct("chrom", "pos")).over(inner)).withColumn("first", F.row_number().over(inner) == 1)
     lasts = part.groupBy(file, "block").agg(F.max_by(F.struct("chrom", "pos"), record).alias("tail")).withColumn("block", F.col("block") + 1)
-    joined = seen.join(lasts, [file, "block"], "left")
-    chrom = F.when(F.col("first"), F.col("tail.chrom")).otherwise(F.col("prev_chrom"))
-    pos = F.when(F.col("first"), F.col("tail.pos")).otherwise(F.col("prev_pos"))
-    return joined.filter((F.col("chrom") == chrom) & (F.col("pos") < pos)).select(*reads.columns)
+    return seen.join(lasts, [file, "block"], "left").withColumn("before", F.when(F.col("first"), F.col("tail")).otherwise(F.col("inside")))
 
 
 def valid_record(contigs_count: int) -> Column:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins, cigar, flags, tags
-from ..operators import coverage, depth, intervals, reads as reads_ops
+from ..operators import coverage, depth, intervals, order, reads as reads_ops
+from ..sources import sinks, text
 from ..sources.fixtures import CONTIG_LENGTH, OTHER_COLUMNS, READS_COLUMNS, TARGET_COLUMNS, load_contigs, load_reads, load_targets
 from .report import Options, coverage_report, flank_set, report_lines
 
@@ -197,6 +198,38 @@ def sortedness(spark, sf_dir):
     return reads_ops.unsorted_reads(rows, "u", "event_id", 1 << 40).select("u", "event_id", "pos")
 
 
+@query("""WITH v AS (SELECT user_id % 8 AS u, event_id, 'c' || CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING) AS chrom FROM events), w AS (SELECT *, lag(chrom) OVER (PARTITION BY u ORDER BY event_id) AS before FROM v)
+SELECT u, chrom, count(*) AS stretches FROM w WHERE chrom IS DISTINCT FROM before GROUP BY u, chrom HAVING count(*) > 1""")
+def contig_stretches(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("user_id % 8 AS u", "event_id", "'c' || CAST(CAST(floor(value) AS BIGINT) % 3 AS STRING) AS chrom", "0 AS pos")
+    return reads_ops.split_contigs(rows, "u", "event_id", 1 << 9)
+
+
+@query(f"WITH {R} SELECT chrom, flag, count(*) AS n FROM r WHERE (flag & 1796) = 0 GROUP BY ALL")
+def pileup_reads(spark, sf_dir):
+    return load_reads(spark, sf_dir).filter(flags.pileup_ok()).groupBy("chrom", "flag").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {R} SELECT chrom, mchrom, count(*) AS n FROM r WHERE chrom < 'chr3' AND mchrom < 'chr3' GROUP BY ALL")
+def record_validity(spark, sf_dir):
+    number = lambda c: F.substring(c, 4, 2).cast("int")
+    rows = load_reads(spark, sf_dir).withColumns({"tid": number("chrom"), "mtid": number("mchrom")}).filter(reads_ops.valid_record(3))
+    return rows.groupBy("chrom", "mchrom").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {R} SELECT CASE WHEN pos % 5 < 4 THEN 'lib' || CAST(pos % 5 % 2 AS STRING) END AS library, count(*) AS n FROM r GROUP BY 1")
+def read_library(spark, sf_dir):
+    groups = spark.range(4).selectExpr("'g' || CAST(id AS STRING) AS rg", "'lib' || CAST(id % 2 AS STRING) AS library")
+    rows = load_reads(spark, sf_dir).withColumn("rg", F.concat(F.lit("g"), (F.col("pos") % 5).cast("string")))
+    return reads_ops.with_library(rows, groups).groupBy("library").agg(F.count("*").alias("n"))
+
+
+@query("SELECT linenumber, quantity AS kth FROM (SELECT CAST(l_linenumber AS INT) AS linenumber, CAST(l_extendedprice AS DOUBLE) AS quantity, row_number() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) AS i FROM lineitem) WHERE i = 100")
+def kth_smallest(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linenumber").cast("int").alias("linenumber"), F.col("l_extendedprice").cast("double").alias("price"))
+    return order.kth_smallest(rows, "price", 100, ("linenumber",))
+
+
 # --- intervals -----------------------------------------------------------------------------------
 
 
@@ -338,6 +371,12 @@ def uncover_runs(spark, sf_dir):
 REPORT = Options(cutoffs=CUTOFFS, ratios=RATIOS)
 
 
+@query(f"{DEP} SELECT concat_ws(chr(9), chrom, q+1, raw, rmdup, cov) AS line FROM dep")
+def depth_text(spark, sf_dir):
+    lines = sinks.depth_lines(depth.per_base(runs(spark, sf_dir)))
+    return lines.select(F.concat_ws("\t", *(F.col(f"`{c}`").cast("string") for c in lines.columns)).alias("line"))
+
+
 def _report_sql() -> str:
     """The report from parts that are counted base by base."""
     names = "n_reads n_data n_qcfail n_pair_all n_pair_good n_read1 n_read2 n_sgltn n_pair_map n_diffchr n_mapped n_mdata n_mstrand n_pstrand n_dup n_qual n_rmdup1 n_rmdup2".split()
@@ -379,9 +418,37 @@ def _alignments(spark, sf_dir):
 
 @query(f"{SAM_ROWS} SELECT concat_ws(chr(9), 'q', flag, chrom, pos+1, mapq, cg, CASE WHEN mchrom = chrom THEN '=' ELSE mchrom END, 0, isize, '*', '*') AS line, count(*) AS n FROM k GROUP BY 1")
 def sam_format(spark, sf_dir):
-    from ..sources.sinks import sam_line
+    return _alignments(spark, sf_dir).select(sinks.sam_line().alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query(f"{SAM_ROWS} SELECT chrom, pos, flag, mapq, isize, mchrom, cg, count(*) AS n FROM k GROUP BY ALL")
+def sam_records(spark, sf_dir):
+    """Write alignments as lines and read them again."""
+    lines = _alignments(spark, sf_dir).select(sinks.sam_line().alias("value"), F.lit("f").alias("file_idx"))
+    return text.sam_rows(lines).groupBy("chrom", "pos", "flag", "mapq", "isize", "mchrom", cigar.format_cigar(F.col("cigar")).alias("cg")).agg(F.count("*").alias("n"))
+
+
+#: What is wrong with a line of ``sam_problems``, by its position modulo 8.
+PROBLEMS = (None, "invalid flag", "invalid number", "invalid CIGAR operation", "unmatched CIGAR operation", "CIGAR and sequence length are inconsistent", "sequence and quality are inconsistent", "missing colon in auxiliary data")
+
 
-    return _alignments(spark, sf_dir).select(sam_line().alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+@query(f"WITH {R} SELECT CASE pos % 8 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(PROBLEMS) if x)} END AS problem, count(*) AS n FROM r GROUP BY 1")
+def sam_problems(spark, sf_dir):
+    kind, seq = F.col("pos") % 8, F.repeat(F.lit("A"), F.col("l_qseq"))
+    change = lambda i, new, old: F.when(kind == i, new).otherwise(old)
+    cg = cigar.format_cigar(F.col("cigar"))
+    fields = [
+        F.lit("q"), change(1, "9x", F.col("flag").cast("string")), F.col("chrom"), (F.col("pos") + 1).cast("string"), change(2, "x", F.col("mapq").cast("string")),
+        F.when(kind == 3, "10Q").when(kind == 4, F.concat(cg, F.lit("3"))).otherwise(cg), F.col("mchrom"), F.lit("0"), F.col("isize").cast("string"), change(5, "A", seq), change(6, "I", F.lit("*")), change(7, "NM3", F.lit("NM:i:1")),
+    ]
+    return load_reads(spark, sf_dir).select(text.sam_problem(F.concat_ws("\t", *fields)).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {T} SELECT chrom, beg, CASE p_partkey % 5 WHEN 3 THEN beg+1 ELSE end_ END AS end_ FROM (SELECT *, (beg*31 + end_) % 5 AS p_partkey FROM t) WHERE p_partkey IN (1, 2, 3)")
+def bed_parse(spark, sf_dir):
+    """Lines of intervals: comments, extra fields, reversed ends, positions and track lines."""
+    line = """CASE (beg*31 + end_) % 5 WHEN 0 THEN '# ' || chrom WHEN 1 THEN concat_ws('\\t', chrom, beg, end_, 'x') WHEN 2 THEN concat_ws('  ', chrom, end_, beg) WHEN 3 THEN concat_ws(' ', chrom, beg+1) ELSE 'track name' END AS value"""
+    return text.bed_rows(load_targets(spark, sf_dir).selectExpr(line))
 
 
 @query(f"{SAM_ROWS} SELECT cg, m1+d+n+m2 AS span, count(*) AS n FROM k GROUP BY ALL")
@@ -413,6 +480,28 @@ def header_parse(spark, sf_dir):
     return rows.select("h.type", F.col("h.tags")["SN"].alias("name"), F.col("h.tags")["LN"].cast("int").alias("length"), F.col("h.tags")["UR"].alias("note"))
 
 
+@query("SELECT n_name AS name, CAST(n_nationkey + 1000 AS INT) AS length, CASE WHEN n_nationkey < 20 AND n_nationkey % 2 = 1 THEN 'u' END AS ur, CASE WHEN n_nationkey < 20 AND n_nationkey % 5 = 0 THEN 2 WHEN n_nationkey < 20 AND n_nationkey % 2 = 1 THEN 1 ELSE 0 END AS conflict FROM nation UNION ALL SELECT 'a note', NULL, NULL, 0")
+def header_merge(spark, sf_dir):
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    line = "concat('@SQ\tSN:', n_name, '\tLN:', {ln}{more}) AS value"
+    note = spark.createDataFrame([("@CO\ta note",)], "value string")
+    first = nation.selectExpr(line.format(ln="n_nationkey + 1000", more="")).unionByName(note)
+    more = ", CASE WHEN n_nationkey % 2 = 1 THEN '\tUR:u' ELSE '' END"
+    second = nation.filter("n_nationkey < 20").selectExpr(line.format(ln="CASE WHEN n_nationkey % 5 = 0 THEN 1 ELSE n_nationkey + 1000 END", more=more)).unionByName(note)
+    t = F.col("tags")
+    return text.merge_headers(text.header_lines(first), text.header_lines(second)).select("name", t["LN"].cast("int").alias("length"), t["UR"].alias("ur"), "conflict")
+
+
+@query("SELECT p_partkey AS k, CAST(p_size + 1 AS BIGINT) AS nm, CAST(NULL AS VARCHAR) AS rg, 'x' || p_size AS xt, 2 AS n, 1 AS kept FROM part")
+def aux_edit(spark, sf_dir):
+    """Replace, drop, add and keep tags."""
+    fields = F.array(F.concat(F.lit("NM:i:"), F.col("p_size").cast("string")), F.concat(F.lit("RG:Z:"), F.col("p_brand")))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", tags.parse_tags(fields).alias("aux"))
+    rows = rows.withColumn("aux", tags.put_tag(tags.put_tag(tags.drop_tag(F.col("aux"), "RG"), "NM", "i", F.col("p_size") + 1), "XT", "Z", F.concat(F.lit("x"), F.col("p_size").cast("string"))))
+    t = F.col("aux")
+    return rows.select(F.col("p_partkey").alias("k"), tags.tag_int(t, "NM").alias("nm"), tags.tag_text(t, "RG").alias("rg"), tags.tag_text(t, "XT").alias("xt"), F.size(t).alias("n"), F.size(tags.keep_tag(t, "NM")).alias("kept"))
+
+
 @query("SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS nm, p_brand AS rg, CAST(p_retailprice AS DOUBLE) AS xf, CAST(0 AS BIGINT) AS missing FROM part")
 def aux_tags(spark, sf_dir):
     part = spark.read.parquet(f"{sf_dir}/part.parquet")

@@ -19,7 +19,12 @@ def read_bed(spark: SparkSession, path: str | list[str], one_based: bool = False
     intervals are swapped, starts are clamped to 0. Comments, ``track`` and ``browser`` lines, blank
     lines and lines without numbers are left out.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter(~F.col("line").rlike(r"^(#|track\b|browser\b|$)"))
+    return bed_rows(spark.read.text(path), one_based, left, right)
+
+
+def bed_rows(lines: DataFrame, one_based: bool = False, left: int = 0, right: int = 0) -> DataFrame:
+    """Intervals of ``lines`` (value), as ``read_bed`` takes them."""
+    lines = lines.select(F.trim("value").alias("line")).filter(~F.col("line").rlike(r"^(#|track\b|browser\b|$)"))
     f = F.split("line", r"\s+")
     a, b = F.get(f, 1).try_cast("int"), F.get(f, 2).try_cast("int")
     two = F.size(f) == 2
@@ -68,7 +73,12 @@ def read_sam(spark: SparkSession, path: str | list[str], strict: bool = False) -
     ``strict``: a record that breaks the format raises when the plan runs; otherwise its bad fields are null.
     ``file_idx`` is the file of a record.
     """
-    lines = spark.read.text(path).filter(~F.col("value").startswith("@") & (F.col("value") != "")).select("value", F.input_file_name().alias("file_idx"))
+    return sam_rows(spark.read.text(path).select("value", F.input_file_name().alias("file_idx")), strict)
+
+
+def sam_rows(lines: DataFrame, strict: bool = False) -> DataFrame:
+    """Alignments of ``lines`` (value, file_idx), as ``read_sam`` takes them."""
+    lines = lines.filter(~F.col("value").startswith("@") & (F.col("value") != ""))
     if strict:
         wrong = sam_problem(F.col("value"))
         lines = lines.withColumn("value", F.when(wrong.isNotNull(), F.raise_error(F.concat(wrong, F.lit(": "), F.col("value"))).cast("string")).otherwise(F.col("value")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import depthforge
 from depthforge.functions import bins, cigar, flags, tags
-from depthforge.operators import coverage, depth, intervals, reads as reads_ops
+from depthforge.operators import coverage, depth, intervals, order, reads as reads_ops
 from depthforge.plans.report import Options, coverage_report, flank_set, report_lines
 from depthforge.sources import bam, bgzf, sinks, text
 from depthforge.streaming import fold
@@ -240,3 +240,13 @@ def test_streaming_fold(spark, golden, tmp_path):
     stream = spark.readStream.schema(golden[0].schema).parquet(str(tmp_path / "in"))
     fold.fold_counters(stream, str(tmp_path / "n"), str(tmp_path / "ck2")).awaitTermination(60)
     assert fold.folded_counters(spark, str(tmp_path / "n")).first() == reads_ops.flagstat(golden[0]).first()
+
+
+def test_order(spark):
+    df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 9, None)] + [("b", 2)], "g string, v int")
+    assert rows(order.kth_smallest(df, "v", 2, ("g",))) == [("a", 1)] and rows(order.kth_smallest(df, "v", 3)) == [(2,)] and order.kth_smallest(df, "v", 9).count() == 0
+    many = spark.range(200).coalesce(1)
+    once, again = ([r[0] for r in order.shuffled(many, 3).collect()] for _ in range(2))
+    assert once == again and once != sorted(once) and sorted(once) == list(range(200))
+    some = [r[0] for r in order.sampled(many, 20).collect()]
+    assert len(set(some)) == 20 and order.sampled(many, 300).count() == 200
