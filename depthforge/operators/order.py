@@ -15,7 +15,7 @@ def kth_smallest(df: DataFrame, value: str, k: int, by: tuple[str, ...] = ()) ->
         raise ValueError("k must be 1 or more")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by).orderBy(value)))
-    return upto.filter(F.col("upto") >= k).groupBy(*by).agg(F.min(value).alias("kth"))
+    return upto.filter(F.col("upto") >= k).groupBy(*by).agg(F.min(value).alias("kth")).filter("kth is not null")
 
 
 def shuffled(df: DataFrame, seed: int = 11) -> DataFrame:
