@@ -19,7 +19,7 @@ BITS = 32
 #: Entries under the prefixes of all trees, as a share of a segment's vectors, at which the ascent ends.
 SHARE = 0.9
 SEGMENT_ROWS = 16_384
-QUERY_ROWS = 4_096
+QUERY_ROWS = 16_384
 
 
 class HashForest:

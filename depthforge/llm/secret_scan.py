@@ -173,7 +173,8 @@ MORE_RULES = (
     Rule("pem", seq(lit("-----BEGIN "), chars("A-Z\\x20", 0), lit("PRIVATE KEY-----"))),
     Rule("hub", seq(lit("gh"), chars("pousr", 1, 1), lit("_"), chars("A-Za-z0-9")), 0, 40),
     Rule("chat", seq(lit("xox"), chars("abprs", 1, 1), lit("-"), chars("A-Za-z0-9-")), 0, 15),
-    Rule("jwt", seq(lit("eyJ"), chars("A-Za-z0-9_-"), lit("."), lit("eyJ"), chars("A-Za-z0-9_-"), lit("."), chars("A-Za-z0-9_-"))),
+    # parts of no more than 1000 characters: a part may begin inside another, so without a bound a long run of beginnings takes quadratic time
+    Rule("jwt", seq(lit("eyJ"), chars("A-Za-z0-9_-", 1, 1000), lit("."), lit("eyJ"), chars("A-Za-z0-9_-", 1, 1000), lit("."), chars("A-Za-z0-9_-"))),
 )
 RULES = BASE_RULES + MORE_RULES
 

@@ -177,8 +177,9 @@ def test_pruning_bound():
 def test_secrets(spark, odd, empty):
     rng = random.Random(3)
     texts = ['PassWord = "abcdef12"', "token=token:abcdefg secret: abc", "AKIA" + "A1" * 8, "AKIAshort", "x" + "0a" * 12 + " " + "f" * 23, "api-key=aaaaaaaa apikey:'bbbbbbbb'", "é😀 token=zzzzzzz", "gh" + "p_" + "a1" * 20, "-----BEGIN RSA PRIVATE KEY-----"]
+    texts += ["eyJ" * 100_000, "eyJ" * 600 + ".eyJa.b", "token" + " " * 300_000, "-----BEGIN " + "A " * 150_000]  # beginnings without an end
     texts.append(" ".join(f"é token={i:0{4 + i % 5}d} {i:024x}" for i in range(3 * secret_scan.GROUP + 7)))  # more than fit in a group
-    texts += [prose(rng, 50) + rng.choice(texts) + prose(rng, 5) for _ in range(40)]
+    texts += [prose(rng, 50) + rng.choice(texts[:9]) + prose(rng, 5) for _ in range(40)]
     kinds = {"assign": (r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, re.I | re.A), "access": (r"AKIA[A-Z0-9]+", 0, 20, 0), "hex": (r"[0-9a-f]+", 0, 24, 0)}
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan_secrets(table(spark, texts)).collect()}
     for i, t in enumerate(texts):
