@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codes import alphanumeric, code_points, lowered
-from .common import bound_batches
+from .common import bound_batches, materialize
 from .tokenize import text_slices
 from .workers import tidy
 
@@ -319,3 +319,14 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
         part = docs.select("doc_id", "text").mapInArrow(tidy(scan), schema)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, index_chars: int = INDEX_CHARS) -> DataFrame:
+    """The rows of ``docs`` in whose own text no item of ``benchmark`` is found, with all columns as they are.
+
+    A row goes for its text: other rows of its doc_id stay. Null texts stay; rows with a null doc_id go like others.
+    """
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))  # a struct is never null, so null ids join
+    leaks = benchmark_leaks(docs.select(key.alias("doc_id"), "text"), benchmark, q, rate, index_chars)
+    gone = materialize(leaks.select(F.col("doc_id").alias("_gone")).distinct(), "leaks")
+    return docs.join(gone, F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("h")) == gone["_gone"], "left_anti")
