@@ -19,9 +19,12 @@ LEAST_SHARE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no known language (no letters at all), or of a mix with no main language.
 
-    The predicted language stands in for a missing ``lang``; given labels stay.
+    The predicted language stands in for a missing ``lang``; given labels stay. Where no document has a label, no
+    language is known and all documents stay.
     """
     model = lang_id.fit(docs.filter(lang_id.learns_from(F.col("doc_id"))))
+    if not model.langs:
+        return docs
     kept = lang_id.identify_rows(docs, model)
     label = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
     kept = kept.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
@@ -39,10 +42,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item up to a few edits."""
-    leaks = decontaminate.benchmark_leaks(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = materialize(leaks.select("doc_id").filter("doc_id is not null").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drop documents that hold a benchmark item up to a few edits; a row goes for its own text, not for its doc_id."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
