@@ -1,14 +1,16 @@
 """Removal of repeated runs of lines, in DataFrame operations only.
 
-Texts are cut into units: lines, and the sentences of a line. A rolling hash over the hashes of two
-units chooses boundaries: the places where it is the least of three in a row, which depend on four
-units alone, so they are the same wherever the units stand. The chunk at a boundary is its two
-units; a unit of a third of ``LEAST_WORDS`` is a chunk of its own. So every run of ``LEAST_WORDS``
-words or more holds a chunk that the run alone decides: of four units or more it holds three
-rolling hashes in a row, of three or fewer a long unit.
+Texts are cut into units: lines, and the sentences of a line. A unit of a third of ``LEAST_WORDS``
+is a chunk of its own. Between such units, a rolling hash over the hashes of two units chooses
+boundaries: the places where it is the least of three in a row, which depend on four units alone, so
+they are the same wherever the units stand. The chunk at a boundary is its two units. So every run of
+``LEAST_WORDS`` words or more holds a chunk that the run alone decides: it holds a long unit, or it
+has four units or more, none of them long, and three rolling hashes in a row.
 
 Chunks that occur more than once in the whole table are found by their hashes; texts that are equal as a
-whole are found by their SHA-256 first and count as one. Around repeated chunks, and only there, the runs are taken that have ``LEAST_WORDS`` words and would not have them without their
+whole are found by their SHA-256 first and count as one. Any four units in a row of a repeated run hold
+a repeated chunk, as does a run of fewer, so all its units are within ``NEAR`` of one. In the stretches of units near
+repeated chunks, and only there, the runs are taken that have ``LEAST_WORDS`` words and would not have them without their
 first or without their last unit. Runs are compared by the SHA-256 of their bytes, and the units
 of all but the first place of each run are removed: together these runs are the whole repeated passage.
 """
@@ -32,7 +34,9 @@ UNIT_ENDS = ("\n", ". ", "! ", "? ", "\u3002", "\uff01", "\uff1f")
 MARK = "\x01"
 #: Units of a text whose runs are taken together; bounds the memory of a row, whatever the text's length.
 PIECE = 128
-_FAR = (1 << 63) - 1
+#: Each unit of a repeated run is this near to the first unit of a repeated chunk.
+NEAR = 3
+_LEAST = -1 << 63
 
 
 def with_text(docs: DataFrame, joined: DataFrame) -> DataFrame:
@@ -69,45 +73,61 @@ def bare_units(text: Column) -> Column:
     ends = "".join(end[0] for end in UNIT_ENDS if end[1:] == " ")
     cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, f" (?<=[{ends}] )")))
     whole = lambda us: F.when((F.element_at(us, -1) == "") & (F.size(us) > 1), F.slice(us, F.lit(1), F.size(us) - 1)).otherwise(us)
-    others = [F.contains(text, F.lit(end)) for end in UNIT_ENDS if end[-1] not in "\n "]
+    others = reduce(Column.__or__, [F.contains(text, F.lit(end)) for end in UNIT_ENDS if end[-1] not in "\n "])
     slow = F.transform(split_units(text), lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(""))))
-    return F.when(reduce(Column.__or__, others), slow).otherwise(F.transform(let(cut, whole), F.trim))
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(~ascii_only & others, slow).otherwise(F.transform(let(cut, whole), F.trim))
 
 
 def words(unit: Column) -> Column:
     """Words of a trimmed unit, 1 at least."""
-    blanks = F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit("")))
-    return F.greatest(blanks + 1, F.floor(F.length(unit) / 12).cast("int"))
+    blanks = F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit("")))
+    return F.greatest(blanks + 1, (F.length(unit) / 12).cast("int"))
 
 
-def rolling_hashes(units: Column) -> Column:
-    """A hash of each two neighbours of ``units``."""
-    return let(F.transform(units, lambda u: F.xxhash64(u)), lambda h: F.transform(F.slice(h, F.lit(1), F.size(h) - 1), lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
+def is_long(unit: Column, least_words: int) -> Column:
+    """Whether a trimmed unit has a third of ``least_words`` by ``words``, found with less work."""
+    least = -(-least_words // 3)
+    size = F.octet_length(unit)
+    # the text before the last blank needed is the whole text where there are fewer
+    return F.lit(least <= 1) | (size > F.octet_length(F.substring_index(unit, " ", max(least - 1, 1)))) | ((size >= 12 * least) & (F.length(unit) >= 12 * least))
 
 
 def chunk_marks(text: Column, least_words: int = LEAST_WORDS) -> Column:
     """Array of (at, h) of a text's chunks: their first unit, from 0, and a hash."""
 
     def least(g: Column) -> Column:
-        """Places where ``g`` is the least of three in a row; beyond the ends nothing is less."""
-        beyond = F.array(F.lit(_FAR), F.lit(_FAR))
+        """Places where ``g`` is the least of three in a row that has no bound in it."""
+        bounds = F.array(F.lit(_LEAST), F.lit(_LEAST))
 
         def mark(p: Column, x: Column, i: Column) -> Column:
             left, right = x <= F.get(p, i + 1), x <= F.get(p, i + 3)
             chosen = (left & right) | (right & (x <= F.get(p, i + 4))) | (left & (x <= F.get(p, i)))
-            return F.when(chosen, F.struct(i.alias("at"), x.alias("h")))
+            return F.when((x > _LEAST) & chosen, F.struct(i.alias("at"), x.alias("h")))
 
-        return let(F.concat(beyond, g, beyond), lambda p: F.array_compact(F.transform(g, lambda x, i: mark(p, x, i))))
+        return let(F.concat(bounds, g, bounds), lambda p: F.array_compact(F.transform(g, lambda x, i: mark(p, x, i))))
 
     def of(units: Column) -> Column:
-        long = F.transform(units, lambda u, i: F.when(words(u) * 3 >= least_words, F.struct(i.alias("at"), F.xxhash64(u).alias("h"))))
-        return F.concat(let(rolling_hashes(units), least), F.array_compact(long))
+        # hashes of the units that are not long, null for the others
+        short = F.transform(units, lambda u: F.when(~is_long(u, least_words), F.xxhash64(u)))
+        pair = lambda s, x, i: F.when(x.isNull() | F.get(s, i + 1).isNull(), F.lit(_LEAST)).otherwise(F.xxhash64(x, F.get(s, i + 1)))
+        rolling = lambda s: F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda x, i: pair(s, x, i))
+        long = lambda s: F.array_compact(F.transform(s, lambda x, i: F.when(x.isNull(), F.struct(i.alias("at"), F.xxhash64(F.get(units, i)).alias("h")))))
+        return let(short, lambda s: F.concat(let(rolling(s), least), long(s)))
 
     return let(bare_units(text), of)
 
 
-def runs_of(units: Column, least_words: int) -> Column:
-    """Array of (first, n) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit."""
+def stretches(marks: Column) -> Column:
+    """Array of (first, last) of the stretches of units within NEAR of one of the sorted ``marks``; last may be beyond the text."""
+    apart = 2 * NEAR + 1
+    firsts = F.filter(marks, lambda x, i: (i == 0) | (x - F.get(marks, i - 1) > apart))
+    lasts = F.filter(marks, lambda x, i: (i == F.size(marks) - 1) | (F.get(marks, i + 1) - x > apart))
+    return let(lasts, lambda e: F.transform(firsts, lambda x, i: F.struct(F.greatest(x - NEAR, F.lit(0)).alias("first"), (F.get(e, i) + NEAR).alias("last"))))
+
+
+def runs_of(units: Column, least_words: int, starts: int) -> Column:
+    """Array of (first, last) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit, and begin in the first ``starts`` units."""
     sizes = F.transform(units, lambda u: F.least(words(u), F.lit(least_words)))
 
     def spans(n: Column, p: Column, o: Column) -> Column:
@@ -118,8 +138,7 @@ def runs_of(units: Column, least_words: int) -> Column:
             same = F.get(o, F.get(p, first) + least_words - 1) == j  # the run from there on is this one
             return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
 
-        whole = F.filter(F.concat(onward, F.transform(n, lambda _, j: back(j))), lambda w: w["first"].isNotNull() & w["last"].isNotNull())
-        return F.transform(whole, lambda w: F.struct(w["first"].alias("first"), (w["last"] - w["first"] + 1).alias("n")))
+        return F.filter(F.concat(onward, F.transform(n, lambda _, j: back(j))), lambda w: (w["first"] < starts) & w["last"].isNotNull())
 
     before = lambda n: F.aggregate(n, F.array(F.lit(0)), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))  # noqa: E731  words before each unit
     owner = lambda n: F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, x)))  # noqa: E731  the unit of each word
@@ -127,29 +146,19 @@ def runs_of(units: Column, least_words: int) -> Column:
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Runs to remove, (key, first, n): all but the first place of each repeated one around repeated chunks.
+    """Runs to remove, (key, first, n): all but the first place of each repeated one in stretches near repeated chunks.
 
-    ``docs`` has key, text and ``pieces``, an array of (piece, marks): the number of a piece of the text, of PIECE units
-    where its runs begin, and the units in reach where repeated chunks lie.
+    ``docs`` has key, text and ``near``, the array of those stretches. They are cut into pieces of PIECE units
+    where runs begin, with the units in reach.
     """
     reach = PIECE + least_words  # a run has no more units than words
-    cut = lambda u, p: F.struct(p["piece"].alias("piece"), p["marks"].alias("marks"), F.slice(u, p["piece"] * PIECE + 1, F.lit(reach)).alias("units"))
-    each = let(bare_units(F.col("text")), lambda u: F.transform("pieces", lambda p: cut(u, p)))
-    base = F.col("p.piece") * PIECE
-    rows = docs.select("key", F.explode(each).alias("p")).select("key", base.alias("base"), "p.units", "p.marks")
-    repeated = lambda i: F.array_contains("marks", F.col("base") + i)
-
-    def lone(g: Column) -> Column:
-        """Whether the chunk at the least of each three rolling hashes in a row is no repeated one."""
-        least = lambda x, i: F.when((x <= F.get(g, i + 1)) & (x <= F.get(g, i + 2)), i).when(F.get(g, i + 1) <= F.get(g, i + 2), i + 1).otherwise(i + 2)
-        return F.transform(F.slice(g, F.lit(1), F.greatest(F.size(g) - 2, F.lit(0))), lambda x, i: ~repeated(least(x, i)))
-
-    rows = rows.select("key", "base", "units", let(rolling_hashes(F.col("units")), lone).alias("lone"), F.transform("units", lambda _, i: repeated(i)).alias("marked"))
-    # a repeated run has repeated chunks only
-    whole = lambda w: F.when(w["n"] > 3, ~F.array_contains(F.slice("lone", w["first"] + 1, w["n"] - 3), True)).otherwise(F.array_contains(F.slice("marked", w["first"] + 1, w["n"]), True))
-    near = lambda w: (w["first"] < PIECE) & whole(w)
-    digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("units", w["first"] + 1, w["n"]), "\n"), 256))
-    named = F.transform(F.filter(runs_of(F.col("units"), least_words), near), lambda w: F.struct((F.col("base") + w["first"]).alias("first"), w["n"].alias("n"), digest(w).alias("body")))
+    piece = lambda u, b, s: F.struct(b.alias("base"), F.slice(u, b + 1, F.least(s["last"] - b + 1, F.lit(reach))).alias("units"))
+    cut = lambda u, s: F.transform(F.sequence(s["first"], F.least(s["last"], F.size(u) - 1), F.lit(PIECE)), lambda b: piece(u, b, s))
+    each = let(bare_units(F.col("text")), lambda u: F.flatten(F.transform("near", lambda s: cut(u, s))))
+    rows = docs.select("key", F.explode(each).alias("p")).select("key", "p.base", "p.units")
+    size = lambda w: w["last"] - w["first"] + 1
+    digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("units", w["first"] + 1, size(w)), "\n"), 256))
+    named = F.transform(runs_of(F.col("units"), least_words, PIECE), lambda w: F.struct((F.col("base") + w["first"]).alias("first"), size(w).alias("n"), digest(w).alias("body")))
     bodies = materialize(rows.select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body"), "runs")
     # copies are counted before the shuffle; the small table is written, so that a join with it may split the many places of one run
     firsts = bodies.groupBy("body").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("places")).filter("places > 1").drop("places")
@@ -190,16 +199,14 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     often = materialize(often.select("h"), "repeated-chunks")
     # sort-merge joins below: lists of chunks grow with the corpus, so they are no side to broadcast
     places = marks.join(often.hint("merge"), "h", "left_semi")
-    first_piece = F.floor(F.greatest(F.col("at") - least_words, F.lit(0)) / PIECE).cast("int")
-    spread = places.select("key", "at", F.explode(F.sequence(first_piece, F.floor(F.col("at") / PIECE).cast("int"))).alias("piece"))
-    pieces = spread.groupBy("key", "piece").agg(F.collect_set("at").alias("marks"))  # no more than the units in a piece's reach
-    lists = pieces.groupBy("key").agg(F.collect_list(F.struct("piece", "marks")).alias("pieces"))  # no more than the pieces of a text
+    lists = places.groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("marks"))  # no more than the units of a text
+    lists = lists.select("key", stretches(F.col("marks")).alias("near"))
     packed = docs.select(key, row.alias("row"))
     copies = copied_texts(packed.select("key", "row.text")).withColumn("copy", F.lit(True))
     marked = packed.join(lists.hint("merge"), "key", "left").join(copies.hint("merge"), "key", "left")
-    marked = materialize(marked.select("key", "row", "copy", F.when(F.col("copy").isNull(), F.col("pieces")).alias("pieces")), "marked")
-    touched = marked.filter("pieces is not null").withColumn("text", F.col("row.text"))
-    gone = repeated_runs(touched.select("key", "text", "pieces"), least_words)
+    marked = materialize(marked.select("key", "row", "copy", F.when(F.col("copy").isNull(), F.col("near")).alias("near")), "marked")
+    touched = marked.filter("near is not null").withColumn("text", F.col("row.text"))
+    gone = repeated_runs(touched.select("key", "text", "near"), least_words)
     runs = gone.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
     without = F.flatten(F.transform("gone", lambda w: F.sequence(w["first"], w["first"] + w["n"] - 1)))
 
@@ -214,6 +221,6 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     changed = joined.select("row", "clean", F.col("gone").isNotNull().alias("changed"))
     # all units of a copy of enough words are in runs that the first document has
     enough = F.aggregate(bare_units(F.col("row.text")), F.lit(0), lambda n, u: n + F.least(words(u), F.lit(least_words))) >= least_words
-    whole = marked.filter("pieces is null").withColumn("changed", F.when(F.col("copy"), enough).otherwise(False))
+    whole = marked.filter("near is null").withColumn("changed", F.when(F.col("copy"), enough).otherwise(False))
     whole = whole.select("row", F.when(F.col("changed"), "").otherwise(F.col("row.text")).alias("clean"), "changed")
     return with_text(docs, whole.unionByName(changed))

@@ -268,6 +268,32 @@ def test_runs_of_repeated_ids(spark):
     assert got == Counter([(None, "Before. " + passage), (1, ""), (1, ""), (1, "Own."), (2, "More.")])
 
 
+def test_chunks_are_few(spark):
+    """Where units are long, they are the only chunks; runs are taken near repeated chunks alone."""
+    rng = random.Random(23)
+    text = " ".join(prose(rng, n) + "." for n in [20, 5] * 40)
+    marks = lambda t: spark.createDataFrame([(t,)], "text string").select(line_dedup.chunk_marks(F.col("text")).alias("m")).head()["m"]
+    assert sorted(m["at"] for m in marks(text)) == list(range(0, 80, 2))
+    short = sorted(m["at"] for m in marks(" ".join(prose(rng, 8) + "." for _ in range(80))))
+    assert short[0] <= 2 and short[-1] >= 76 and max(b - a for a, b in zip(short, short[1:])) <= 3 and len(short) < 60
+    assert marks("") == marks("One. Two. Three.") == []
+
+
+def test_long_units(spark):
+    """Both ways to count a unit's words, at and around the bounds."""
+    units = ["", "a", *(" ".join("x" * n) for n in range(1, 60)), *("é" * n for n in range(1, 260, 3)), *("a  b" * n for n in range(1, 20)), *("中 " * n + "文" * 9 for n in range(1, 40))]
+    df = spark.createDataFrame([(u,) for u in units], "u string")
+    for least in (1, 2, 3, 4, 12, 50, 51):
+        rows = df.select("u", line_dedup.words(F.col("u")).alias("n"), line_dedup.is_long(F.col("u"), least).alias("long")).collect()
+        assert all(r["n"] == max(r["u"].count(" ") + 1, len(r["u"]) // 12) and r["long"] == (r["n"] * 3 >= least) for r in rows)
+
+
+def test_stretches(spark):
+    marks = [[0], [9], [2, 9], [2, 10], [0, 1, 2, 40, 47, 60]]
+    out = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "i int, m array<int>").select("i", line_dedup.stretches(F.col("m")).alias("s")).collect()
+    assert {r["i"]: [tuple(w) for w in r["s"]] for r in out} == {0: [(0, 3)], 1: [(6, 12)], 2: [(0, 12)], 3: [(0, 5), (7, 13)], 4: [(0, 5), (37, 50), (57, 63)]}
+
+
 def test_stage_removes_passages(spark):
     """Passages of few long lines."""
     import corpus_pipeline
