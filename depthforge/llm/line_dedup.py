@@ -36,6 +36,8 @@ MARK = "\x01"
 PIECE = 128
 #: Each unit of a repeated run is this near to the first unit of a repeated chunk.
 NEAR = 3
+#: Units whose words are summed at once.
+BLOCK = 16
 _LEAST = -1 << 63
 
 
@@ -58,25 +60,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def replaced(text: Column, ends: dict[str, str]) -> Column:
+    """``text`` with each of ``ends`` replaced, those that it holds."""
+    one = lambda t, end: let(t, lambda x: F.when(F.contains(x, F.lit(end)), F.replace(x, F.lit(end), F.lit(ends[end]))).otherwise(x))
+    return reduce(one, ends, text)
+
+
 def split_units(text: Column) -> Column:
     """Units of a text with what ends them."""
-    marked = text
-    for end in UNIT_ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    marked = replaced(text, {end: end + MARK for end in UNIT_ENDS})
     slow = F.split(text, "|".join(f"(?<={re.escape(end)})" for end in UNIT_ENDS))
     # no text ends with a separator and an empty unit
     return F.when(F.contains(text, F.lit(MARK)), F.filter(slow, lambda u: u != "")).otherwise(F.split(F.rtrim(marked, F.lit(MARK)), MARK))
 
 
 def bare_units(text: Column) -> Column:
-    """The same units without their ends and without blanks around them, found with less work where all ends are line ends or end in a blank."""
-    ends = "".join(end[0] for end in UNIT_ENDS if end[1:] == " ")
-    cut = F.flatten(F.transform(F.split(text, "\n"), lambda line: F.split(line, f" (?<=[{ends}] )")))
+    """The same units without their ends and without blanks around them."""
+    lines = replaced(text, {end: end.rstrip(" ") + "\n" for end in UNIT_ENDS if end != "\n"})
     whole = lambda us: F.when((F.element_at(us, -1) == "") & (F.size(us) > 1), F.slice(us, F.lit(1), F.size(us) - 1)).otherwise(us)
-    others = reduce(Column.__or__, [F.contains(text, F.lit(end)) for end in UNIT_ENDS if end[-1] not in "\n "])
-    slow = F.transform(split_units(text), lambda u: F.trim(F.replace(u, F.lit("\n"), F.lit(""))))
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.when(~ascii_only & others, slow).otherwise(F.transform(let(cut, whole), F.trim))
+    units = lambda t: let(F.split(t, "\n"), whole)
+    # F.trim itself would be given the place of a unit as the characters to trim
+    blank = lambda t: t.startswith(" ") | t.endswith(" ") | F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\n "))  # noqa: E731  at a unit's end
+    return let(lines, lambda t: F.when(blank(t), F.transform(units(t), lambda u: F.trim(u))).otherwise(units(t)))
 
 
 def words(unit: Column) -> Column:
@@ -102,7 +107,7 @@ def chunk_marks(text: Column, least_words: int = LEAST_WORDS) -> Column:
 
         def mark(p: Column, x: Column, i: Column) -> Column:
             left, right = x <= F.get(p, i + 1), x <= F.get(p, i + 3)
-            chosen = (left & right) | (right & (x <= F.get(p, i + 4))) | (left & (x <= F.get(p, i)))
+            chosen = F.when(left, right | (x <= F.get(p, i))).otherwise(right & (x <= F.get(p, i + 4)))
             return F.when((x > _LEAST) & chosen, F.struct(i.alias("at"), x.alias("h")))
 
         return let(F.concat(bounds, g, bounds), lambda p: F.array_compact(F.transform(g, lambda x, i: mark(p, x, i))))
@@ -126,23 +131,44 @@ def stretches(marks: Column) -> Column:
     return let(lasts, lambda e: F.transform(firsts, lambda x, i: F.struct(F.greatest(x - NEAR, F.lit(0)).alias("first"), (F.get(e, i) + NEAR).alias("last"))))
 
 
-def runs_of(units: Column, least_words: int, starts: int) -> Column:
-    """Array of (first, last) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit, and begin in the first ``starts`` units."""
-    sizes = F.transform(units, lambda u: F.least(words(u), F.lit(least_words)))
+def sums(n: Column) -> Column:
+    """The sums of the longs before each of ``n``, and of all; each block is summed alone, as an array is copied for each number added to it."""
+    upto = lambda a: F.aggregate(a, F.array(F.lit(0).cast("long")), lambda p, x: F.array_append(p, F.element_at(p, -1) + x))
+    blocks = F.transform(F.sequence(F.lit(0), F.size(n) - 1, F.lit(BLOCK)), lambda b: upto(F.slice(n, b + 1, F.lit(BLOCK))))
+    ends = lambda bs: upto(F.transform(bs, lambda b: F.element_at(b, -1)))
+    # the last sum of a block is the first of the next
+    inner = lambda bs, e: F.transform(bs, lambda b, k: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: x + F.get(e, k)))
+    return let(blocks, lambda bs: let(ends(bs), lambda e: F.concat(F.flatten(inner(bs, e)), F.array(F.element_at(e, -1)))))
 
-    def spans(n: Column, p: Column, o: Column) -> Column:
-        onward = F.transform(n, lambda _, i: F.struct(i.alias("first"), F.get(o, F.get(p, i) + least_words - 1).alias("last")))
+
+def runs_of(units: Column, least_words: int, starts: int, base: Column) -> Column:
+    """Array of (first, n, body) of the runs of trimmed ``units`` with ``least_words`` words that lose them with their first or last unit.
+
+    Only runs that begin in the first ``starts`` units; ``first`` counts from ``base``; ``body`` is the SHA-256 of the units with line ends between them.
+    """
+    # words in the low 32 bits, above them the bytes with a line end
+    both = F.transform(units, lambda u: F.shiftleft((F.octet_length(u) + 1).cast("long"), 32) + F.least(words(u), F.lit(least_words)))
+    low = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    high = lambda x: F.shiftright(x, 32).cast("int")
+
+    def spans(n: Column, s: Column, o: Column) -> Column:
+        onward = F.transform(n, lambda _, i: F.struct(i.alias("first"), F.get(o, low(F.get(s, i)) + least_words - 1).alias("last")))
 
         def back(j: Column) -> Column:
-            first = F.get(o, F.get(p, j + 1) - least_words)
-            same = F.get(o, F.get(p, first) + least_words - 1) == j  # the run from there on is this one
+            first = F.get(o, low(F.get(s, j + 1)) - least_words)
+            same = F.get(o, low(F.get(s, first)) + least_words - 1) == j  # the run from there on is this one
             return F.struct(first.alias("first"), F.when(~same, j).alias("last"))
 
         return F.filter(F.concat(onward, F.transform(n, lambda _, j: back(j))), lambda w: (w["first"] < starts) & w["last"].isNotNull())
 
-    before = lambda n: F.aggregate(n, F.array(F.lit(0)), lambda p, x: F.concat(p, F.array(F.element_at(p, -1) + x)))  # noqa: E731  words before each unit
-    owner = lambda n: F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, x)))  # noqa: E731  the unit of each word
-    return let(sizes, lambda n: let(before(n), lambda p: let(owner(n), lambda o: spans(n, p, o))))
+    def named(s: Column, text: Column, w: Column) -> Column:
+        start = high(F.get(s, w["first"]))
+        body = F.substr(text, start + 1, high(F.get(s, w["last"] + 1)) - start - 1)
+        return F.struct((base + w["first"]).alias("first"), (w["last"] - w["first"] + 1).alias("n"), F.unhex(F.sha2(body, 256)).alias("body"))
+
+    owner = lambda n: F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, low(x))))  # noqa: E731  the unit of each word
+    joined = F.array_join(units, "\n").cast("binary")  # bytes, as places in a string are found by counting from its start
+    return let(both, lambda n: let(sums(n), lambda s: let(joined, lambda t: F.transform(let(owner(n), lambda o: spans(n, s, o)), lambda w: named(s, t, w)))))
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -156,10 +182,7 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     cut = lambda u, s: F.transform(F.sequence(s["first"], F.least(s["last"], F.size(u) - 1), F.lit(PIECE)), lambda b: piece(u, b, s))
     each = let(bare_units(F.col("text")), lambda u: F.flatten(F.transform("near", lambda s: cut(u, s))))
     rows = docs.select("key", F.explode(each).alias("p")).select("key", "p.base", "p.units")
-    size = lambda w: w["last"] - w["first"] + 1
-    digest = lambda w: F.unhex(F.sha2(F.array_join(F.slice("units", w["first"] + 1, size(w)), "\n"), 256))
-    named = F.transform(runs_of(F.col("units"), least_words, PIECE), lambda w: F.struct((F.col("base") + w["first"]).alias("first"), size(w).alias("n"), digest(w).alias("body")))
-    bodies = materialize(rows.select("key", F.explode(named).alias("w")).select("key", "w.first", "w.n", "w.body"), "runs")
+    bodies = materialize(rows.select("key", F.explode(runs_of(F.col("units"), least_words, PIECE, F.col("base"))).alias("w")).select("key", "w.first", "w.n", "w.body"), "runs")
     # copies are counted before the shuffle; the small table is written, so that a join with it may split the many places of one run
     firsts = bodies.groupBy("body").agg(F.min(F.struct("key", "first")).alias("kept"), F.count("*").alias("places")).filter("places > 1").drop("places")
     firsts = materialize(firsts, "first-places")
@@ -207,8 +230,10 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     marked = materialize(marked.select("key", "row", "copy", F.when(F.col("copy").isNull(), F.col("near")).alias("near")), "marked")
     touched = marked.filter("near is not null").withColumn("text", F.col("row.text"))
     gone = repeated_runs(touched.select("key", "text", "near"), least_words)
-    runs = gone.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
-    without = F.flatten(F.transform("gone", lambda w: F.sequence(w["first"], w["first"] + w["n"] - 1)))
+    # a run as one number: its first unit, and in the low bits how many there are
+    runs = gone.groupBy("key").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32) + F.col("n")).alias("gone"))
+    first = lambda w: F.shiftright(w, 32).cast("int")
+    without = F.flatten(F.transform("gone", lambda w: F.sequence(first(w), first(w) + w.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - 1)))
 
     def rest(units: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), without)

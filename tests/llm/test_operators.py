@@ -288,6 +288,26 @@ def test_long_units(spark):
         assert all(r["n"] == max(r["u"].count(" ") + 1, len(r["u"]) // 12) and r["long"] == (r["n"] * 3 >= least) for r in rows)
 
 
+def test_bare_units(spark):
+    """Units without their ends are those of the split that keeps them."""
+    rng = random.Random(24)
+    parts = ["", " ", "  ", "\n", ".", ". ", "! ", "? ", "。", "！", "a", "bc", "文", "4191 a", "x. 41", "é", "\x01"]
+    texts = ["", "abc.\n ", "a. \n b", "a.\n. ", "heing. 4191085147143418 Atin", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(600))]
+    df = spark.createDataFrame([(u,) for u in texts], "t string").select("t", line_dedup.split_units(F.col("t")).alias("s"), line_dedup.bare_units(F.col("t")).alias("b"))
+    for r in df.collect():
+        assert "".join(r["s"]) == r["t"] and r["b"] == [u.replace("\n", "").strip(" ") for u in r["s"]] and r["s"] == units_of(r["t"]), r
+
+
+def test_runs_of(spark):
+    """Places, sizes and digests of runs, over more units than are summed at once."""
+    rng = random.Random(25)
+    units = [prose(rng, rng.choice([1, 2, 9, 20])) + rng.choice(["", "é文"]) for _ in range(70)] + ["", "é" * 700]
+    size = [min(max(u.count(" ") + 1, len(u) // 12), 50) for u in units]
+    want = {(100 + i, j - i, hashlib.sha256("\n".join(units[i:j]).encode()).hexdigest()) for i in range(60) for j in range(i + 1, 73) if sum(size[i:j]) >= 50 and (sum(size[i : j - 1]) < 50 or sum(size[i + 1 : j]) < 50)}
+    row = spark.createDataFrame([(units,)], "u array<string>").select(line_dedup.runs_of(F.col("u"), 50, 60, F.lit(100)).alias("r")).head()
+    assert sorted((w["first"], w["n"], bytes(w["body"]).hex()) for w in row["r"]) == sorted(want)
+
+
 def test_stretches(spark):
     marks = [[0], [9], [2, 9], [2, 10], [0, 1, 2, 40, 47, 60]]
     out = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "i int, m array<int>").select("i", line_dedup.stretches(F.col("m")).alias("s")).collect()
