@@ -343,6 +343,33 @@ def test_word_encoder():
         assert all((ids[bounds[i] : bounds[i + 1]] == x[:-1]).all() and bounds[i + 1] - bounds[i] == len(x) - 1 for i, x in enumerate(plain_ids(texts)))
 
 
+def test_word_encoder_cuts_after_letters():
+    texts = ["Don't, STOP'S (x),,", "", "é,É.×,ŉ,", "T", "̈ T̈, İ, क़, X.", "<|ENDOFTEXT|> a", "on, <|endoftext|>, off", "x\x7fy \x7f z", "a.b,c 'S's ''s", "e", "<|endoftext|>", ""]
+    enc = tokenize.WordEncoder(tokenize.default_tokenizer())
+    for some in (pa.array(texts), pa.array(texts).slice(3), pa.array([""]), pa.array(["x", *texts]).slice(1, 2)):
+        ids, bounds = enc.encode(some)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [x[:-1].tolist() for x in plain_ids(some.to_pylist())]
+
+
+def test_word_encoder_work():
+    """Words that differ in capitals and punctuation alone are one, and words go to the tokenizer in groups."""
+
+    class Counted:
+        texts = 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    enc = tokenize.WordEncoder(tokenize.default_tokenizer())
+    tokenizer, enc.tokenizer = enc.tokenizer, Counted()
+    words = ["w" + "".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(2000)]
+    texts = [f"{w} {w.title()}, {w}. {w}%%%" for w in words]
+    ids, bounds = enc.encode(pa.array(texts))
+    assert all((ids[bounds[i] : bounds[i + 1]] == x[:-1]).all() and bounds[i + 1] - bounds[i] == len(x) - 1 for i, x in enumerate(plain_ids(texts)))
+    assert len(enc.slots) == len(words) + 3 and enc.tokenizer.texts <= len(words) // 50
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 5000])
 def test_block_round_trip(tmp_path, n):
     rng = np.random.default_rng(n)
