@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cigar import reference_segments
+from ..functions.cigar import reference_segments, with_events
 from .intervals import BIN_BITS, cut
 from .reads import depth_eligible, is_clean
 
@@ -35,7 +35,6 @@ def zone_runs(reads: DataFrame, targets: DataFrame, flanks: DataFrame | None = N
     ends = lambda *of: F.explode(F.array(*(F.struct(F.col(at).alias("p"), *rest) for at, rest in zip(("lo", "hi"), of, strict=True))))
     none = F.lit(None).cast("int")
     names = [*MEASURES, "on_target", "on_flank", "beg", "end_"]
-    depths = lambda sign: [(sign * F.col(m)).cast("bigint").alias(m) for m in MEASURES]
     still = [number(0).alias(m) for m in MEASURES]
     beside = [number(0).alias("on_target"), number(0).alias("on_flank"), none.alias("beg"), none.alias("end_")]
     zone = cut(targets.select("chrom", "beg", "end_", F.col("beg").cast("int").alias("first"), F.col("end_").cast("int").alias("last")), ["first", "last"], bits)
@@ -45,10 +44,13 @@ def zone_runs(reads: DataFrame, targets: DataFrame, flanks: DataFrame | None = N
     if flanks is not None:
         edge = lambda n: [*still, number(0).alias("on_target"), number(n).alias("on_flank"), none.alias("beg"), none.alias("end_")]
         marks = marks.unionByName(cut(flanks, [], bits).select("chrom", "bin", ends(edge(1), edge(-1)).alias("e")))
-    events = cut(segments(reads, min_mapq), MEASURES, bits).select("chrom", "bin", ends([*depths(1), *beside], [*depths(-1), *beside]).alias("e"))
-    # events of one place are summed before the shuffle, so a bin has no more rows than bases, however deep it is
-    places = events.unionByName(marks).groupBy("chrom", "bin", F.col("e.p").alias("p")).agg(*((F.max if c in ("beg", "end_") else F.sum)(f"e.{c}").alias(c) for c in names))
+    # a column of its own and the outer form: events are computed once a read, in compiled code
+    reads = with_events(depth_eligible(reads).select("chrom", "pos", "cigar", is_clean(min_mapq).alias("clean")), bits).select("chrom", "clean", F.explode_outer("events").alias("e"))
+    # events of one place are summed before the shuffle, so a bin has no more rows than bases (and marks), however deep it is
+    events = reads.filter("e.p is not null").groupBy("chrom", F.col("e.p").alias("p")).agg(F.sum("e.raw").alias("raw"), F.sum(F.when(F.col("clean"), F.col("e.raw")).otherwise(0)).alias("rmdup"), F.sum("e.cov").alias("cov"))
+    places = events.select("chrom", F.shiftright("p", bits).alias("bin"), "p", *MEASURES, *beside).unionByName(marks.select("chrom", "bin", "e.p", *(f"e.{c}" for c in names)))
     wanted = marks.select("chrom", "bin").distinct()
+    # rows of one place are peers: each has the sums of all of them, and all but one have no length
     order = Window.partitionBy("chrom", "bin").orderBy("p")
     sums = [F.sum(c).over(order).alias(c) for c in names[:5]]
     runs = places.join(wanted, ["chrom", "bin"], "left_semi").select("chrom", F.col("p").alias("lo"), F.lead("p").over(order).alias("hi"), *(F.last(c, ignorenulls=True).over(order).alias(c) for c in ("beg", "end_")), *sums)

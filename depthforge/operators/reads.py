@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cigar import reference_end
-from ..functions.flags import DUP, MUNMAP, PAIRED, PROPER, QCFAIL, READ1, READ2, REVERSE, UNMAP, has, primary, read_class
+from ..functions.flags import DUP, MUNMAP, PAIRED, PROPER, QCFAIL, READ1, READ2, REVERSE, SECONDARY, SUPP, UNMAP, has, primary, read_class
 from .intervals import BIN_BITS
 
 
@@ -19,44 +19,53 @@ def depth_eligible(reads: DataFrame) -> DataFrame:
 
 
 def eligible() -> Column:
-    return primary() & F.col("chrom").isNotNull() & (read_class() != -3)
+    # one look at the flag: where it is an expression of other columns, each look repeats that in compiled code, and Java leaves methods of more than 8000 bytes uncompiled
+    return F.col("flag").bitwiseAND(F.lit(SECONDARY | SUPP | QCFAIL | UNMAP)).isin(0, QCFAIL, QCFAIL | UNMAP) & F.col("chrom").isNotNull()
 
 
 def is_clean(min_mapq: int = 20) -> Column:
-    """Not a duplicate, and mapped well enough."""
-    return (read_class() != 2) & (F.col("mapq") >= min_mapq)
+    """Not a duplicate (class 2), and mapped well enough."""
+    return ~F.col("flag").bitwiseAND(F.lit(QCFAIL | UNMAP | DUP)).eqNullSafe(F.lit(DUP)) & (F.col("mapq") >= min_mapq)
 
 
-def counters(min_mapq: int = 20) -> dict[str, tuple[Column, Column | None]]:
-    """Condition of each flag counter, and what it sums (none: it counts reads)."""
+def counters() -> dict[str, tuple[Column, Column | None]]:
+    """Condition of each flag counter over ``_classes``, and what it sums (none: it counts reads)."""
     ok = ~has(QCFAIL)
     pair = ok & has(PAIRED)
     mapped = ok & ~has(UNMAP)
     both = pair & ~has(UNMAP) & ~has(MUNMAP)
-    placed = F.col("chrom").isNotNull() & read_class().isin(0, 1)
-    bases, every = F.col("l_qseq").cast("bigint"), F.lit(True)
+    placed = F.col("placed") & read_class().isin(0, 1)
+    bases, every = F.col("bases"), F.lit(True)
     return {
         "n_reads": (every, None), "n_data": (every, bases), "n_qcfail": (has(QCFAIL), None), "n_pair_all": (pair, None), "n_pair_good": (pair & has(PROPER) & ~has(UNMAP), None),
         "n_read1": (pair & has(READ1), None), "n_read2": (pair & has(READ2), None), "n_sgltn": (pair & has(MUNMAP) & ~has(UNMAP), None), "n_pair_map": (both, None),
-        "n_diffchr": (both & ~F.col("mchrom").eqNullSafe(F.col("chrom")), None), "n_mapped": (mapped, None), "n_mdata": (mapped, bases), "n_mstrand": (mapped & has(REVERSE), None),
-        "n_pstrand": (mapped & ~has(REVERSE), None), "n_dup": (mapped & has(DUP), None), "n_qual": (F.col("mapq") >= min_mapq, None), "n_rmdup1": (placed & has(READ1), None), "n_rmdup2": (placed & has(READ2), None),
+        "n_diffchr": (both & ~F.col("home"), None), "n_mapped": (mapped, None), "n_mdata": (mapped, bases), "n_mstrand": (mapped & has(REVERSE), None),
+        "n_pstrand": (mapped & ~has(REVERSE), None), "n_dup": (mapped & has(DUP), None), "n_qual": (F.col("good"), None), "n_rmdup1": (placed & has(READ1), None), "n_rmdup2": (placed & has(READ2), None),
     }
 
 
-def _counted(min_mapq: int) -> list[Column]:
-    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0)).cast("bigint")
-    return [(F.count_if(c) if v is None else total(c, v)).alias(name) for name, (c, v) in counters(min_mapq).items()]
+def _classes(reads: DataFrame, min_mapq: int, *by: Column) -> DataFrame:
+    """Primary reads by all that the counters look at: flag, good (mapped well enough), placed, home (mate on the same contig), with n and bases.
+
+    The counters' conditions are too much code to run on each read; there are few classes.
+    """
+    keys = ((F.col("mapq") >= min_mapq).alias("good"), F.col("chrom").isNotNull().alias("placed"), F.col("mchrom").eqNullSafe(F.col("chrom")).alias("home"))
+    return reads.filter(primary()).groupBy(*by, "flag", *keys).agg(F.count("*").alias("n"), F.sum(F.col("l_qseq").cast("bigint")).alias("bases"))
+
+
+def _counted() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(c, F.col("n") if v is None else v)), F.lit(0)).cast("bigint").alias(name) for name, (c, v) in counters().items()]
 
 
 def flagstat(reads: DataFrame, min_mapq: int = 20) -> DataFrame:
     """All flag counters in one pass and one row."""
-    return reads.filter(primary()).agg(*_counted(min_mapq))
+    return _classes(reads, min_mapq).agg(*_counted())
 
 
 def counters_by_size(reads: DataFrame, min_mapq: int = 20, limit: int = 2000) -> DataFrame:
     """Flag counters and the insert sizes in one pass: (size, cnt, counters), a row for each insert size; reads without one are under 0."""
     size = F.when(eligible() & (F.col("isize") > 0) & (F.col("isize") < limit), F.col("isize")).otherwise(0)
-    return reads.filter(primary()).groupBy(size.alias("size")).agg(F.count("*").alias("cnt"), *_counted(min_mapq))
+    return _classes(reads, min_mapq, size.alias("size")).groupBy("size").agg(F.sum("n").alias("cnt"), *_counted())
 
 
 #: Fractions of the report: name, counter above, counter below.

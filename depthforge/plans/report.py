@@ -123,27 +123,35 @@ def report_lines(o: Options) -> list[Line]:
     ]
 
 
-#: Measures whose histograms a report holds: depth with deletions, depth of clean reads, and aligned bases around the targets.
-COV, RMDUP, FLANK = 0, 1, 2
+#: Histograms that a report holds: depth with deletions, depth of clean reads, aligned bases around the targets, and the targets' mean depths, cut to whole numbers.
+COV, RMDUP, FLANK, REGION = 0, 1, 2, 3
 
 
 def depth_histograms(runs: DataFrame) -> DataFrame:
-    """(kind, value, cnt) of COV and RMDUP on targets and of FLANK, from one reading of ``zone_runs``."""
-    one = lambda on, kind, m: F.when(F.col(on), F.struct(F.lit(kind).alias("kind"), F.col(m).alias("value")))
-    kinds = F.array_compact(F.array(one("on_target", COV, "cov"), one("on_target", RMDUP, "rmdup"), one("on_flank", FLANK, "raw")))
-    return runs.select(F.explode(kinds).alias("k"), coverage.run_size().alias("size")).groupBy("k.kind", "k.value").agg(F.sum("size").cast("bigint").alias("cnt"))
+    """(kind, value, cnt) of COV and RMDUP on targets, of FLANK and of REGION, from one reading of ``zone_runs``."""
+    place = ("chrom", "beg", "end_")
+
+    def one(on: str, kind: int, m: str | None):
+        """The row of a run in a histogram: its depth, or (no measure) its target, which has its depth once all its runs are summed."""
+        return F.when(F.col(on), F.struct(F.lit(kind).alias("kind"), (F.col(m) if m else F.lit(None).cast("bigint")).alias("value"), *(F.when(F.lit(m is None), F.col(c)).alias(c) for c in place)))
+
+    kinds = F.array(one("on_target", COV, "cov"), one("on_target", RMDUP, "rmdup"), one("on_flank", FLANK, "raw"), one("on_target", REGION, None))
+    size = coverage.run_size().cast("bigint")
+    rows = runs.select(F.explode(kinds).alias("k"), size.alias("size"), (F.col("raw") * size).alias("data")).filter("k is not null")
+    rows = rows.groupBy("k.kind", "k.value", *(f"k.{c}" for c in place)).agg(F.sum("size").alias("size"), F.sum("data").alias("data"))
+    region = F.col("kind") == REGION
+    value, cnt = F.when(region, F.floor(F.col("data") / F.col("size"))).otherwise(F.col("value")), F.when(region, 1).otherwise(F.col("size"))
+    return rows.select("kind", value.cast("bigint").alias("value"), cnt.alias("cnt")).groupBy("kind", "value").agg(F.sum("cnt").cast("bigint").alias("cnt"))
 
 
 def raw_numbers(reads: DataFrame, targets: DataFrame, contigs: DataFrame, options: Options) -> DataFrame:
-    """One row of all numbers that ``report_lines`` refer to: one sweep, one pass for flags and insert sizes, and two joins of reads with zones."""
+    """One row of all numbers that ``report_lines`` refer to: one sweep, a pass each for flags and insert sizes, and two joins of reads with zones."""
     merged, flanks = intervals.merge(targets), flank_set(targets, contigs, options)
     runs = depth.zone_runs(reads, merged, flanks, options.min_mapq)
     eligible = reads_ops.depth_eligible(reads)
     cuts = tuple(dict.fromkeys((*coverage.THRESHOLDS, *options.cutoffs)))
 
-    by_size = reads_ops.counters_by_size(reads, options.min_mapq, options.isize_limit)
-    flags = by_size.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in by_size.columns[2:]))
-    sizes = by_size.filter("size > 0").select(F.col("size").alias("value"), "cnt")
+    flags, sizes = reads_ops.flagstat(reads, options.min_mapq), reads_ops.insert_sizes(reads, options.isize_limit)
 
     # a row for each depth; the mean and the thresholds that hang on it come from windows over these
     of_kind = Window.partitionBy("kind")
@@ -164,14 +172,11 @@ def raw_numbers(reads: DataFrame, targets: DataFrame, contigs: DataFrame, option
         *(share(k, at(t), f"{prefix}x{t}") for k, prefix in ((COV, ""), (RMDUP, "rmdup_"), (FLANK, "flank_")) for t in cuts),
         *(share(COV, F.col("value") >= F.floor(whole * r), f"u{int(r * 100):03d}") for r in (0.2, 0.5)),
         *(share(COV, F.col("value") > upto(i), f"ratio{i}") for i in range(len(options.ratios))),
+        total(REGION, F.col("cnt"), "regions"), *(total(REGION, F.when(at(t), F.col("cnt")), f"regions_x{t}") for t in cuts),
     )
 
-    average = F.floor(F.sum(F.col("raw") * coverage.run_size()) / F.sum(coverage.run_size()))
-    regions = runs.filter("on_target").groupBy("chrom", "beg", "end_").agg(average.alias("value"))
-    regions = regions.agg(F.count("*").alias("regions"), *(F.count_if(at(t)).alias(f"regions_x{t}") for t in cuts))
-
     parts = [
-        depths, regions, coverage.mean_of(sizes).toDF("isize_mean"), coverage.rank_median(sizes).toDF("isize_median"),
+        depths, coverage.mean_of(sizes).toDF("isize_mean"), coverage.rank_median(sizes).toDF("isize_median"),
         reads_ops.overlapping(eligible, merged).agg(F.count("*").alias("target_reads")), reads_ops.overlapping(eligible, flanks).agg(F.count("*").alias("flank_reads")),
     ]
     for part in parts:

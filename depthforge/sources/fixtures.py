@@ -37,8 +37,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 def load_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).selectExpr(*READS_COLUMNS)
-    op = lambda kind, length: F.struct(F.lit(kind).alias("op"), F.col(length).alias("len"))
-    cigar = F.filter(F.array(op("M", "m1"), op("D", "d"), op("N", "n"), op("M", "m2")), lambda x: x["len"] > 0).cast(CIGAR)
+    op = lambda kind, length: F.when(F.col(length) > 0, F.array(F.struct(F.lit(kind).alias("op"), F.col(length).alias("len")))).otherwise(F.array()).cast(CIGAR)
+    cigar = F.concat(op("M", "m1"), op("D", "d"), op("N", "n"), op("M", "m2"))
     return rows.withColumn("cigar", cigar).drop("m1", "d", "n", "m2")
 
 

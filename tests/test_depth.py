@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import depthforge
 from depthforge.functions import bins, cigar, flags, tags
 from depthforge.operators import coverage, depth, intervals, order, reads as reads_ops
@@ -250,3 +252,48 @@ def test_order(spark):
     assert once == again and once != sorted(once) and sorted(once) == list(range(200))
     some = [r[0] for r in order.sampled(many, 20).collect()]
     assert len(set(some)) == 20 and order.sampled(many, 300).count() == 200
+
+
+def test_sweep_by_brute_force(spark):
+    """Depth of short and long CIGARs, gaps and reads over the edges of bins, against a walk base by base."""
+    rng = random.Random(5)
+    made = ["".join(f"{rng.randrange(0 if op in 'DN' else 1, 90 if op == 'N' else 12)}{op}" for op in rng.choices("MDNIS=X", (6, 2, 2, 1, 1, 1, 1), k=rng.randrange(1, 9))) for _ in range(150)]
+    cigars = [*made, "64M", "5M2D4M", "4M60N4M", "3M1D2N3M", "6M1I6M1D6M2N6M", "300M", "*"]
+    reads_ = [("c", rng.choice([0, 63, 64, 128, rng.randrange(600)]), rng.choice([0, 4, 512, 516, 1024, 1536, 256]), rng.choice([0, 60]), cg) for cg in cigars * 2]
+    zones, depths = [(0, 40), (60, 70), (128, 500), (640, 641)], {}
+    for _, pos, flag, mapq, cg in reads_:
+        if flag & 256 or flag & 516 == 4:
+            continue
+        clean, at = flag & 1540 != 1024 and mapq >= 20, pos
+        for n, op in ((int(x[:-1]), x[-1]) for x in cigar_ops(cg)):
+            for p in range(at, at + n) if op in "M=XD" else ():
+                d = depths.setdefault(p, [0, 0, 0])
+                d[0], d[1], d[2] = d[0] + (op != "D"), d[1] + (op != "D" and clean), d[2] + 1
+            at += n if op in "MDN=X" else 0
+    reads = spark.createDataFrame(reads_, "chrom string, pos int, flag int, mapq int, cg string").withColumn("cigar", cigar.parse_cigar(F.col("cg")))
+    runs = depth.depth_runs(reads, iv(spark, [("c", *z) for z in zones]), bits=6)
+    assert rows(depth.per_base(runs).drop("chrom")) == [(p + 1, *depths.get(p, (0, 0, 0))) for z in zones for p in range(*z)]
+    ends = [tuple(r) for r in reads.select("cg", cigar.reference_end(F.lit(7), F.col("cigar"))).collect()]
+    assert ends == [(cg, 7 + sum(int(x[:-1]) for x in cigar_ops(cg) if x[-1] in "MDN=X")) for *_, cg in reads_]
+
+
+def cigar_ops(cg):
+    return re.findall(r"[0-9]+[A-Z=]", cg)
+
+
+@pytest.mark.parametrize("name, scans", [("coverage_report", 9), ("coverage_ratio", 1), ("coverage_uniformity", 1)])
+def test_reads_in_compiled_code(spark, name, scans):
+    """Stages that see each read are methods that Java compiles (at most 8000 bytes), and no query runs the sweep ahead of its own run."""
+    spark.sparkContext.setJobGroup(name, name)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        query = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        plan = query._jdf.queryExecution().executedPlan()
+        stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [x._3().maxMethodCodeSize() for x in map(stages.apply, range(stages.size())) if "l_orderkey" in x._1() and "Exchange" not in x._1()]
+    assert sizes and max(sizes) <= 8000
+    assert len([x for x in re.sub(r"ReusedExchange.*", "", plan.toString()).split("\n") if "FileScan" in x and "l_orderkey" in x]) <= scans
+    assert jobs <= 2  # the schemas of two tables
