@@ -58,22 +58,26 @@ def thresholds(hist: DataFrame, cutoffs: tuple[int, ...] = (), by: tuple[str, ..
     return hist.groupBy(*by).agg(*each) if by else hist.agg(*each)
 
 
-def uniformity(hist: DataFrame, length: int | Column) -> DataFrame:
+def _mean(hist: DataFrame, length: int | Column | None) -> DataFrame:
+    """``mean`` in one row, over ``length`` (None: all that the histogram counts); null without a length."""
+    data = hist.agg(F.coalesce(F.sum(F.col("value") * F.col("cnt")), F.lit(0)).alias("data"), F.sum("cnt").alias("n"))
+    n = F.col("n") if length is None else F.lit(length)
+    return data.select((F.col("data") / F.nullif(n, F.lit(0))).alias("mean"))
+
+
+def uniformity(hist: DataFrame, length: int | Column | None = None) -> DataFrame:
     """Percentages at or above 0.2 and 0.5 of the whole-number mean; thresholds are cut to whole numbers. No length: null."""
-    n = F.lit(length) if isinstance(length, int) else length
-    data = hist.agg(F.coalesce(F.sum(F.col("value") * F.col("cnt")), F.lit(0)).alias("data")).select(F.floor(F.col("data") / F.nullif(n, F.lit(0))).alias("mean"))
+    data = _mean(hist, length).select(F.floor("mean").alias("mean"))
     joined = hist.crossJoin(F.broadcast(data))  # one row
     return joined.agg(*(_share(F.col("value") >= F.floor(F.col("mean") * r)).alias(f"u{int(r * 100):03d}") for r in (0.2, 0.5)))
 
 
-def ratio_coverage(hist: DataFrame, length: int, ratios: tuple[float, ...]) -> DataFrame:
-    """(ord, ratio, threshold, pct): positions above floor(ratio * mean); thresholds never fall along the list."""
+def ratio_coverage(hist: DataFrame, length: int | None, ratios: tuple[float, ...]) -> DataFrame:
+    """(ord, ratio, threshold, pct): positions above floor(ratio * mean); thresholds never fall along the list. ``length`` as in ``_mean``."""
     if len(ratios) > 10 or any(not 0 < r <= 1 for r in ratios):
         raise ValueError("at most 10 ratios, each above 0 and not above 1")
-    spark = hist.sparkSession
-    rows = spark.createDataFrame([(i, float(r)) for i, r in enumerate(ratios)], "ord int, ratio double")
-    mean = hist.agg((F.coalesce(F.sum(F.col("value") * F.col("cnt")), F.lit(0)) / F.nullif(F.lit(length), F.lit(0))).alias("mean"))
-    own = rows.crossJoin(F.broadcast(mean)).select("ord", "ratio", F.max(F.floor(F.col("ratio") * F.col("mean"))).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)).alias("threshold"))
+    each = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(float(r)).alias("ratio")) for i, r in enumerate(ratios))).cast("array<struct<ord:int,ratio:double>>")
+    own = _mean(hist, length).select("mean", F.inline(each)).select("ord", "ratio", F.max(F.floor(F.col("ratio") * F.col("mean"))).over(Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)).alias("threshold"))
     return hist.crossJoin(F.broadcast(own)).groupBy("ord", "ratio", "threshold").agg(_share(F.col("value") > F.col("threshold")).alias("pct"))
 
 

@@ -322,16 +322,14 @@ def coverage_rmdup(spark, sf_dir):
 
 @query(f"{DEP}, {HIST.format(m='cov')}, k AS (SELECT CAST(sum(value*cnt) AS BIGINT) // (SELECT sum(end_-beg) FROM m) AS a FROM h) SELECT coalesce(sum(cnt) FILTER (value >= floor(a*0.2)), 0) / sum(cnt) * 100 AS u020, coalesce(sum(cnt) FILTER (value >= floor(a*0.5)), 0) / sum(cnt) * 100 AS u050 FROM h, k")
 def coverage_uniformity(spark, sf_dir):
-    h = coverage.histogram(runs(spark, sf_dir))
-    return coverage.uniformity(h, int(h.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]))
+    return coverage.uniformity(coverage.histogram(runs(spark, sf_dir)))
 
 
 @query(f"""{DEP}, {HIST.format(m='cov')}, k AS (SELECT sum(value*cnt) / sum(cnt) AS a FROM h),
 q AS (SELECT ord, ratio, max(CAST(floor(ratio * a) AS BIGINT)) OVER (ORDER BY ord) AS threshold FROM k, (VALUES {', '.join(f'({i}, CAST({r} AS DOUBLE))' for i, r in enumerate(RATIOS))}) v(ord, ratio))
 SELECT ord, ratio, threshold, coalesce(sum(cnt) FILTER (value > threshold), 0) / sum(cnt) * 100 AS pct FROM h, q GROUP BY ord, ratio, threshold""")
 def coverage_ratio(spark, sf_dir):
-    h = coverage.histogram(runs(spark, sf_dir))
-    return coverage.ratio_coverage(h, int(h.agg(F.coalesce(F.sum("cnt"), F.lit(0))).first()[0]), RATIOS)
+    return coverage.ratio_coverage(coverage.histogram(runs(spark, sf_dir)), None, RATIOS)
 
 
 REGIONS = f"{DEP}, g AS (SELECT chrom, beg, end_, sum(raw) / count(*) AS avg, median(raw) AS median, count(*) FILTER (raw > 0) / count(*) * 100 AS cov_pct, count(*) FILTER (cov > 0) / count(*) * 100 AS covfix_pct FROM dep GROUP BY chrom, beg, end_)"
